@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, simhash
+from factloom.llm import audio, bpe, chunk_dedup, language_id, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_language": language_id.op1_language,
     "op2_simhash": simhash.op2_simhash,
+    "op3_sharding": sharding.op3_sharding,
     "op4_bpe": bpe.op4_bpe,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_audio": audio.op6_audio,
+    "op8_substring": chunk_dedup.op8_substring,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_sharding": sharding.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+}
