@@ -113,9 +113,10 @@ def _plain(word: bytes) -> bytes:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, n) of a task: character classes of kind c, words of kind w."""
+    """(lang, kind, key, n) of a task: character classes of kind c, words of kind w, their total of kind t."""
     held: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
+    totals: dict[str, int] = {}
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         lang, kind, key, n = zip(*out)
@@ -125,7 +126,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, raw in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
             text = bytes(raw)
             if text:
-                held.setdefault(lang, Counter()).update(map(_plain, text.split()))
+                words = list(filter(None, map(_plain, text.split())))
+                held.setdefault(lang, Counter()).update(words)
+                totals[lang] = totals.get(lang, 0) + len(words)
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
         if sum(map(len, held.values())) > HELD_WORDS:
             yield rows([(lang, "w", k, n) for lang, c in held.items() for k, n in c.items()])
@@ -133,7 +136,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if words := [(lang, "w", k, n) for lang, c in held.items() for k, n in c.items()]:
         yield rows(words)
     if found := [(lang, "c", name.encode(), int(n)) for lang, c in classes.items() for name, n in zip(CLASSES, c)]:
-        yield rows(found)
+        yield rows(found + [(lang, "t", b"", n) for lang, n in totals.items()])
 
 
 def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, dict]:
@@ -144,16 +147,10 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, dict]:
     bounded_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").select("lang", text_bytes().alias("text"))
     counted = rows.mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    total = Window.partitionBy("lang", "kind")
-    named = counted.where("kind = 'w' AND length(key) > 0")
-    top = named.withColumn("place", F.row_number().over(total.orderBy(F.desc("n"), "key"))).where(F.col("place") <= common)
-    sums = named.groupBy("lang").agg(F.sum("n").alias("n"))
+    # One window takes the common words and, being fewer, all classes and the total too: the corpus is read once.
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    wanted = counted.withColumn("place", place).where(F.col("place") <= max(common, len(CLASSES))).drop("place")
     out: dict[str, dict] = {}
-    wanted = (
-        top.select("lang", F.lit("w").alias("kind"), "key", "n")
-        .unionByName(counted.where("kind = 'c'").select("lang", "kind", "key", "n"))
-        .unionByName(sums.select("lang", F.lit("t").alias("kind"), F.lit(None).cast("binary").alias("key"), "n"))
-    )
     for lang, kind, key, n in wanted.collect():
         own = out.setdefault(lang, {"classes": np.zeros(len(CLASSES)), "words": {}, "total": 0})
         if kind == "c":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import audio, bpe, chunk_dedup, language_id, mixing, quality, sharding, simhash
+from factloom.llm import audio, bpe, chunk_dedup, language_id, mixing, pii, quality, secret_scan, sharding, simhash
 
 QUERIES = {
     "op1_language": language_id.op1_language,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_audio": audio.op6_audio,
+    "op7_secrets": secret_scan.op7_secrets,
     "op8_substring": chunk_dedup.op8_substring,
+    "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
 }
 
