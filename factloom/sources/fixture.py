@@ -87,12 +87,21 @@ def flat_sql(d: Dialect, group: str) -> str:
         return f"SELECT {_row(d, group, 'entity', "'user-' || user_id", 'performed', 'concept', "'event-' || event_type", **more)} FROM ({inner}) x"
     if group == "labels":
         return f"SELECT {_row(d, group, 'reference', "'doc-' || doc_id", 'has-quality', 'concept', "'quality-' || quality", status="CASE WHEN toxic = 1 THEN 'disputed' ELSE 'accepted' END")} FROM {t('labels')}"
+    if group == "worlds":
+        return f"SELECT {_row(d, group, 'entity', "'region-' || r_regionkey", 'part-of', 'entity', "'world'", status="'known'")} FROM {t('region')}"
+    if group == "taxonomy":
+        return f"SELECT {_row(d, group, 'concept', "'type-' || p_type", 'subclass-of', 'concept', "'type-any'", status="'known'")} FROM (SELECT DISTINCT p_type FROM {t('part')}) x"
+    if group == "traits":
+        return f"SELECT {_row(d, group, 'concept', "'type-' || p_type", 'has-trait', 'concept', "'trait-' || (length(p_type) % 3)", ck="'size'", cv="p_type")} FROM (SELECT DISTINCT p_type FROM {t('part')}) x"
+    if group == "names":
+        inner = f"SELECT p_partkey, p_name, lead(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS following FROM {t('part')}"
+        return f"SELECT {_row(d, group, 'entity', "'part-' || p_partkey", 'same-name-as', 'entity', "'part-' || following", ck="'name'", cv="p_name")} FROM ({inner}) x WHERE following IS NOT NULL"
     raise KeyError(group)
 
 
-GROUPS = ("nations", "customers", "segments", "suppliers", "orders", "lines", "supply", "types", "events", "labels")
+GROUPS = ("nations", "customers", "segments", "suppliers", "orders", "lines", "supply", "types", "events", "labels", "worlds", "taxonomy", "traits", "names")
 _TIMES = {"orders": ["o_orderdate"], "lineitem": ["l_shipdate"], "events": ["ts"]}
-_NEEDS = {"nations": "nation", "customers": "customer", "segments": "customer", "suppliers": "supplier", "orders": "orders", "lines": "lineitem", "supply": "lineitem", "types": "part", "events": "events", "labels": "labels"}
+_NEEDS = {"nations": "nation", "customers": "customer", "segments": "customer", "suppliers": "supplier", "orders": "orders", "lines": "lineitem", "supply": "lineitem", "types": "part", "events": "events", "labels": "labels", "worlds": "region", "taxonomy": "part", "traits": "part", "names": "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
