@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, one or more for each operator family."""
 
-from factloom.queries import knowledge, query_model
+from factloom.queries import governance, knowledge, query_model
 from factloom.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "knowledge", "query_model"]
+__all__ = ["ORACLES", "QUERIES", "governance", "knowledge", "query_model"]
