@@ -237,7 +237,7 @@ def _profiles(spark, sf_dir):
 _PROFILES = "prof AS (SELECT 'part-' || p_partkey AS entity_id, p_name, p_brand, p_type, p_size, p_partkey, p_retailprice, lower(p_name) AS norm, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS alias FROM part)"
 
 
-def _signal(signal: str, given: dict, on: str) -> None:
+def _signal(signal: str, given, on: str) -> None:
     """Candidates that one signal gives for inputs of every seventh part."""
     sql = f"WITH {_PROFILES}, inp AS (SELECT * FROM prof WHERE p_partkey % 7 = 0) SELECT i.entity_id AS input_id, p.entity_id, '{signal}' AS signal FROM inp i JOIN prof p ON {on}"
 
@@ -245,21 +245,21 @@ def _signal(signal: str, given: dict, on: str) -> None:
     def run(spark, sf_dir):
         profiles = _profiles(spark, sf_dir)
         inputs = profiles.join(fixture.table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("part-"), "p_partkey").alias("entity_id"), "p_name"), "entity_id")
-        chosen = inputs.select(F.col("entity_id").alias("input_id"), *[(v if k != "text" else v).alias(k) for k, v in ({"text": F.lit("")} | given).items()])
+        chosen = inputs.select(F.col("entity_id").alias("input_id"), *[v.alias(k) for k, v in ({"text": F.lit("")} | given()).items()])
         found = resolution.candidates(chosen, profiles)
         return found.select("input_id", "entity_id", F.explode("signals").alias("signal")).where(F.col("signal") == signal)
 
 
-_signal("exact-identifier", {"identifier": F.element_at("identifiers", 1)}, "i.entity_id = p.entity_id")
-_signal("exact-alias", {"text": F.element_at("aliases", 1)}, "i.alias = p.alias")
-_signal("source-identifier", {"source_id": F.lit("catalogue"), "value": F.expr("source_identifiers[0].value")}, "i.entity_id = p.entity_id")
-_signal("normalized-name-or-alias", {"text": F.concat(F.lit("  "), F.upper("p_name"), F.lit("!!"))}, "i.norm = p.norm")
-_signal("transliteration", {"transliteration": F.upper(F.element_at("transliterations", 1))}, "reverse(i.norm) = reverse(p.norm)")
-_signal("lexical", {"lexical_keys": F.slice("lexical_keys", 1, 1)}, "split_part(i.p_name, ' ', 1) IN (split_part(p.p_name, ' ', 1), split_part(p.p_name, ' ', 2))")
-_signal("language", {"language_keys": F.col("language_keys")}, "i.p_type = p.p_type")
-_signal("semantic-relationship", {"semantic_keys": F.col("semantic_keys")}, "i.p_brand = p.p_brand")
-_signal("context", {"context_keys": F.col("context_keys")}, "i.p_size = p.p_size")
-_signal("graph-neighborhood", {"neighborhood_keys": F.col("neighborhood_keys")}, "floor(i.p_retailprice / 100) = floor(p.p_retailprice / 100)")
+_signal("exact-identifier", lambda: {"identifier": F.element_at("identifiers", 1)}, "i.entity_id = p.entity_id")
+_signal("exact-alias", lambda: {"text": F.element_at("aliases", 1)}, "i.alias = p.alias")
+_signal("source-identifier", lambda: {"source_id": F.lit("catalogue"), "value": F.expr("source_identifiers[0].value")}, "i.entity_id = p.entity_id")
+_signal("normalized-name-or-alias", lambda: {"text": F.concat(F.lit("  "), F.upper("p_name"), F.lit("!!"))}, "i.norm = p.norm")
+_signal("transliteration", lambda: {"transliteration": F.upper(F.element_at("transliterations", 1))}, "reverse(i.norm) = reverse(p.norm)")
+_signal("lexical", lambda: {"lexical_keys": F.slice("lexical_keys", 1, 1)}, "split_part(i.p_name, ' ', 1) IN (split_part(p.p_name, ' ', 1), split_part(p.p_name, ' ', 2))")
+_signal("language", lambda: {"language_keys": F.col("language_keys")}, "i.p_type = p.p_type")
+_signal("semantic-relationship", lambda: {"semantic_keys": F.col("semantic_keys")}, "i.p_brand = p.p_brand")
+_signal("context", lambda: {"context_keys": F.col("context_keys")}, "i.p_size = p.p_size")
+_signal("graph-neighborhood", lambda: {"neighborhood_keys": F.col("neighborhood_keys")}, "floor(i.p_retailprice / 100) = floor(p.p_retailprice / 100)")
 
 
 def _inputs(spark, sf_dir):
