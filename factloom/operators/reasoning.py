@@ -82,7 +82,11 @@ def _condition(condition: r.Condition, premises: int) -> Column:
 
 def merged_context(contexts: list[Column]) -> Column:
     """Premises' contexts in order: the first value of a key stays, a later one that differs becomes premise.<i>.<key>."""
-    entries = F.flatten(F.array(*[F.transform(c, lambda e, i=i: F.struct(F.lit(i).alias("i"), e["k"].alias("k"), e["v"].alias("v"))) for i, c in enumerate(contexts)]))
+
+    def numbered(number: int, context: Column) -> Column:
+        return F.transform(context, lambda e: F.struct(F.lit(number).alias("i"), e["k"].alias("k"), e["v"].alias("v")))
+
+    entries = F.flatten(F.array(*[numbered(i, c) for i, c in enumerate(contexts)]))
     empty = F.expr(f"cast(array() as {PAIRS})")
 
     def put(out: Column, key: Column, value: Column) -> Column:

@@ -296,11 +296,11 @@ def index_forward(spark, sf_dir):
     return index.forward(_table(spark, sf_dir, "part").select(F.lit("entity").alias("target_kind"), F.concat(F.lit("part-"), "p_partkey").alias("reference")))
 
 
-@register("index_reverse", "SELECT 'part-' || p_partkey AS reference, sha256('entity' || chr(31) || 'part-' || p_partkey) AS index_id FROM part WHERE p_size < 10")
+@register("index_reverse", "SELECT 'part-' || p_partkey AS reference, sha256('entity' || chr(31) || 'part-' || p_partkey) AS index_id FROM part")
 def index_reverse(spark, sf_dir):
-    targets = _table(spark, sf_dir, "part").select(F.lit("entity").alias("target_kind"), F.concat(F.lit("part-"), "p_partkey").alias("reference"), "p_size")
-    wanted = index.forward(targets.where("p_size < 10")).select("index_id")
-    return index.reverse(targets).join(wanted, "index_id", "left_semi").select("reference", "index_id")
+    """Every index id taken back to its reference."""
+    targets = _table(spark, sf_dir, "part").select(F.lit("entity").alias("target_kind"), F.concat(F.lit("part-"), "p_partkey").alias("reference"))
+    return index.forward(targets).select("index_id").join(index.reverse(targets), "index_id").select("reference", "index_id")
 
 
 @register("index_sync", "SELECT 'part-' || p_partkey AS reference FROM part WHERE p_partkey % 3 <> 1")

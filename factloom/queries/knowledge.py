@@ -234,46 +234,50 @@ def _profiles(spark, sf_dir):
     )
 
 
-_PROFILES = "prof AS (SELECT 'part-' || p_partkey AS entity_id, p_name, p_brand, p_type, p_size, p_partkey, p_retailprice, lower(p_name) AS norm, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS alias FROM part)"
+_PROFILES = "prof AS (SELECT 'part-' || p_partkey AS entity_id, p_name, p_brand, p_type, p_size, p_partkey, p_retailprice, lower(p_name) AS norm FROM part)"
+_ALIAS = "upper(substr(split_part({n}, ' ', 1), 1, 1)) || substr(split_part({n}, ' ', 1), 2) || ' ' || upper(substr(split_part({n}, ' ', 2), 1, 1)) || substr(split_part({n}, ' ', 2), 2)"
 
 
-def _signal(signal: str, given, on: str) -> None:
-    """Candidates that one signal gives for inputs of every seventh part."""
-    sql = f"WITH {_PROFILES}, inp AS (SELECT * FROM prof WHERE p_partkey % 7 = 0) SELECT i.entity_id AS input_id, p.entity_id, '{signal}' AS signal FROM inp i JOIN prof p ON {on}"
+def _signal(signal: str, key, given, value: str, on: str) -> None:
+    """Candidates that one signal gives: an input for every distinct value of the key over all parts, against all profiles."""
+    sql = f"WITH {_PROFILES}, inp AS (SELECT DISTINCT CAST({value} AS VARCHAR) AS k FROM prof) SELECT i.k AS input_id, p.entity_id, '{signal}' AS signal FROM inp i JOIN prof p ON {on}"
 
     @register(f"resolve_signal_{signal.replace('-', '_')}", sql)
     def run(spark, sf_dir):
-        profiles = _profiles(spark, sf_dir)
-        inputs = profiles.join(fixture.table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("part-"), "p_partkey").alias("entity_id"), "p_name"), "entity_id")
-        chosen = inputs.select(F.col("entity_id").alias("input_id"), *[v.alias(k) for k, v in ({"text": F.lit("")} | given()).items()])
-        found = resolution.candidates(chosen, profiles)
+        values = fixture.table(spark, sf_dir, "part").select(key().cast("string").alias("k")).distinct()
+        inputs = values.select(F.col("k").alias("input_id"), *[v.alias(name) for name, v in ({"text": F.lit("")} | given(F.col("k"))).items()])
+        found = resolution.candidates(inputs, _profiles(spark, sf_dir))
         return found.select("input_id", "entity_id", F.explode("signals").alias("signal")).where(F.col("signal") == signal)
 
 
-_signal("exact-identifier", lambda: {"identifier": F.element_at("identifiers", 1)}, "i.entity_id = p.entity_id")
-_signal("exact-alias", lambda: {"text": F.element_at("aliases", 1)}, "i.alias = p.alias")
-_signal("source-identifier", lambda: {"source_id": F.lit("catalogue"), "value": F.expr("source_identifiers[0].value")}, "i.entity_id = p.entity_id")
-_signal("normalized-name-or-alias", lambda: {"text": F.concat(F.lit("  "), F.upper("p_name"), F.lit("!!"))}, "i.norm = p.norm")
-_signal("transliteration", lambda: {"transliteration": F.upper(F.element_at("transliterations", 1))}, "reverse(i.norm) = reverse(p.norm)")
-_signal("lexical", lambda: {"lexical_keys": F.slice("lexical_keys", 1, 1)}, "split_part(i.p_name, ' ', 1) IN (split_part(p.p_name, ' ', 1), split_part(p.p_name, ' ', 2))")
-_signal("language", lambda: {"language_keys": F.col("language_keys")}, "i.p_type = p.p_type")
-_signal("semantic-relationship", lambda: {"semantic_keys": F.col("semantic_keys")}, "i.p_brand = p.p_brand")
-_signal("context", lambda: {"context_keys": F.col("context_keys")}, "i.p_size = p.p_size")
-_signal("graph-neighborhood", lambda: {"neighborhood_keys": F.col("neighborhood_keys")}, "floor(i.p_retailprice / 100) = floor(p.p_retailprice / 100)")
+_signal("exact-identifier", lambda: F.concat(F.lit("part-"), "p_partkey"), lambda k: {"identifier": k}, "entity_id", "i.k = p.entity_id")
+_signal("exact-alias", lambda: F.initcap("p_name"), lambda k: {"text": k}, _ALIAS.format(n="p_name"), f"i.k = {_ALIAS.format(n='p.p_name')}")
+_signal("source-identifier", lambda: F.col("p_partkey"), lambda k: {"source_id": F.lit("catalogue"), "value": k}, "p_partkey", "i.k = CAST(p.p_partkey AS VARCHAR)")
+_signal("normalized-name-or-alias", lambda: F.col("p_name"), lambda k: {"text": F.concat(F.lit("  "), F.upper(k), F.lit("!!"))}, "p_name", "i.k = p.p_name")
+_signal("transliteration", lambda: F.col("p_name"), lambda k: {"transliteration": F.upper(F.reverse(k))}, "p_name", "i.k = p.p_name")
+_signal("lexical", lambda: F.element_at(F.split("p_name", " "), 1), lambda k: {"lexical_keys": F.array(k)}, "split_part(p_name, ' ', 1)", "i.k IN (split_part(p.p_name, ' ', 1), split_part(p.p_name, ' ', 2))")
+_signal("language", lambda: F.col("p_type"), lambda k: {"language_keys": F.array(k)}, "p_type", "i.k = p.p_type")
+_signal("semantic-relationship", lambda: F.col("p_brand"), lambda k: {"semantic_keys": F.array(k)}, "p_brand", "i.k = p.p_brand")
+_signal("context", lambda: F.col("p_size"), lambda k: {"context_keys": F.array(F.concat(F.lit("size-"), k))}, "p_size", "i.k = CAST(p.p_size AS VARCHAR)")
+_signal("graph-neighborhood", lambda: F.floor(F.col("p_retailprice") / 100), lambda k: {"neighborhood_keys": F.array(F.concat(F.lit("price-"), k))}, "CAST(floor(p_retailprice / 100) AS BIGINT)", "i.k = CAST(CAST(floor(p.p_retailprice / 100) AS BIGINT) AS VARCHAR)")
 
 
 def _inputs(spark, sf_dir):
-    part = fixture.table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
-    spelled = part.select(F.concat(F.lit("in-"), "p_partkey").alias("input_id"), F.upper("p_name").alias("text"), F.array("p_brand").alias("semantic_keys"))
-    known = part.select(F.concat(F.lit("id-"), "p_partkey").alias("input_id"), F.lit("?").alias("text"), F.concat(F.lit("part-"), "p_partkey").alias("identifier"))
-    weak = part.select(F.concat(F.lit("weak-"), "p_partkey").alias("input_id"), F.lit("nothing like it").alias("text"), F.array("p_brand").alias("semantic_keys"))
-    none = part.select(F.concat(F.lit("none-"), "p_partkey").alias("input_id"), F.lit("nothing like it").alias("text"))
+    """Every spelling of a name with a brand, every identifier, every brand alone, and every name as nothing known."""
+    part = fixture.table(spark, sf_dir, "part")
+    spelled = part.select("p_name", "p_brand").distinct().select(F.concat_ws("/", F.lit("in"), "p_name", "p_brand").alias("input_id"), F.upper("p_name").alias("text"), F.array("p_brand").alias("semantic_keys"))
+    known = part.select(F.concat(F.lit("id/"), "p_partkey").alias("input_id"), F.lit("?").alias("text"), F.concat(F.lit("part-"), "p_partkey").alias("identifier"))
+    weak = part.select("p_brand").distinct().select(F.concat(F.lit("weak/"), "p_brand").alias("input_id"), F.lit("nothing like it").alias("text"), F.array("p_brand").alias("semantic_keys"))
+    none = part.select("p_name").distinct().select(F.concat(F.lit("none/"), "p_name").alias("input_id"), F.lit("nothing like it").alias("text"))
     return spelled.unionByName(known, True).unionByName(weak, True).unionByName(none, True)
 
 
-_PAIRS = f"""WITH {_PROFILES}, base AS (SELECT * FROM prof WHERE p_partkey % 50 = 0),
-    pair AS (SELECT 'in-' || i.p_partkey AS input_id, p.entity_id, CASE WHEN i.norm = p.norm THEN 7 ELSE 0 END AS a, CASE WHEN i.p_brand = p.p_brand THEN 3 ELSE 0 END AS b FROM base i JOIN prof p ON i.norm = p.norm OR i.p_brand = p.p_brand
-      UNION ALL SELECT 'id-' || p_partkey, entity_id, 10, 0 FROM base UNION ALL SELECT 'weak-' || i.p_partkey, p.entity_id, 0, 3 FROM base i JOIN prof p ON i.p_brand = p.p_brand),
+_PAIRS = f"""WITH {_PROFILES}, combo AS (SELECT DISTINCT p_name, p_brand, norm FROM prof),
+    hit AS (SELECT 'in/' || i.p_name || '/' || i.p_brand AS input_id, p.entity_id, 7 AS a, 0 AS b FROM combo i JOIN prof p ON i.norm = p.norm
+      UNION ALL SELECT 'in/' || i.p_name || '/' || i.p_brand, p.entity_id, 0, 3 FROM combo i JOIN prof p ON i.p_brand = p.p_brand
+      UNION ALL SELECT 'id/' || p_partkey, entity_id, 10, 0 FROM prof UNION ALL SELECT 'weak/' || i.p_brand, p.entity_id, 0, 3 FROM (SELECT DISTINCT p_brand FROM prof) i JOIN prof p ON i.p_brand = p.p_brand),
+    pair AS (SELECT input_id, entity_id, max(a) AS a, max(b) AS b FROM hit GROUP BY input_id, entity_id),
+    ids AS (SELECT 'in/' || p_name || '/' || p_brand AS input_id FROM combo UNION ALL SELECT 'id/' || p_partkey FROM prof UNION ALL SELECT DISTINCT 'weak/' || p_brand FROM prof UNION ALL SELECT DISTINCT 'none/' || p_name FROM prof),
     ranked AS (SELECT *, greatest(a, b) AS top, row_number() OVER w AS place, lead(greatest(a, b)) OVER w AS following FROM pair
       WINDOW w AS (PARTITION BY input_id ORDER BY greatest(a, b) DESC, CASE WHEN a > 0 AND b > 0 THEN 1 ELSE 0 END DESC, entity_id))"""
 
@@ -286,7 +290,7 @@ def resolve_rank(spark, sf_dir):
 
 @register(
     "resolve_decide",
-    f"""{_PAIRS}, best AS (SELECT * FROM ranked WHERE place = 1), ids AS (SELECT kind || p_partkey AS input_id FROM base, (VALUES ('in-'), ('id-'), ('weak-'), ('none-')) k(kind)),
+    f"""{_PAIRS}, best AS (SELECT * FROM ranked WHERE place = 1),
     d AS (SELECT ids.input_id, entity_id, CASE WHEN entity_id IS NULL THEN 'unknown' WHEN top < 7 THEN 'unresolved' WHEN following IS NOT NULL AND top - following < 1 THEN 'ambiguous' ELSE 'resolved' END AS decision FROM ids LEFT JOIN best USING (input_id))
     SELECT input_id, decision, CASE WHEN decision = 'resolved' THEN entity_id END AS entity_id FROM d""",
 )
@@ -323,13 +327,13 @@ def contradiction_functional(spark, sf_dir):
 
 @register(
     "contradiction_disjoint_times",
-    f"""{_facts('events')}, e AS (SELECT aid, si, oi, tag, s_us, e_us FROM facts WHERE si IN ('user-1', 'user-2'))
+    f"""{_facts('events')}, e AS (SELECT aid, si, oi, tag, s_us, e_us FROM facts)
     SELECT least(a.aid, b.aid) AS left_id, greatest(a.aid, b.aid) AS right_id FROM e a JOIN e b ON a.si = b.si AND a.aid < b.aid AND a.oi <> b.oi
     WHERE a.tag = 'unknown' OR b.tag = 'unknown' OR NOT (coalesce(a.e_us <= b.s_us, false) OR coalesce(b.e_us <= a.s_us, false))""",
 )
 def contradiction_disjoint_times(spark, sf_dir):
     """Events of a user as values of a functional predicate: those whose times certainly don't meet are no contradiction."""
-    known = fixture.assertions(spark, sf_dir, "events").where(F.col("subject.id").isin("user-1", "user-2"))
+    known = fixture.assertions(spark, sf_dir, "events")
     plain = known.withColumn("context", F.expr("cast(array() as array<struct<k:string,v:string>>)"))
     return contradiction.detect(plain, ["performed"]).select("left_id", "right_id")
 
