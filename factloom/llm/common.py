@@ -53,6 +53,11 @@ def raw_bytes(column: pa.Array) -> Iterator[memoryview]:
         yield view[start:end]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; without it the value's expression would be repeated at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches, built from native functions alone.
 
@@ -60,24 +65,24 @@ def match_spans(text: Column, pattern: str, kind: int, keep, group: int = 0) ->
     lengths give the places (code points, end exclusive). ``keep`` maps (match, group) to a condition.
     Result: array<struct<s int, k int, e int>>, in order of place.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        F.arrays_zip(found.alias("m"), values.alias("v")),
-        F.slice(gaps, F.lit(1), F.size(found)),
-        lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("long"), keep(x["m"], x["v"]).alias("ok")),
-    )
+    fields = {"m": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "g": F.split(text, pattern, -1)}
+    if group:
+        fields["v"] = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     nothing = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["long"]
-        span = F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e"))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        def part(m: Column, i: Column) -> Column:
+            ok = keep(m, F.get(x["v"], i) if group else m)
+            return F.struct(F.length(F.get(x["g"], i)).alias("gap"), F.length(m).alias("long"), ok.alias("ok"))
+
+        def step(state: Column, p: Column) -> Column:
+            begin = state["at"] + p["gap"]
+            span = F.struct(begin.alias("s"), F.lit(kind).alias("k"), (begin + p["long"]).alias("e"))
+            return F.struct((begin + p["long"]).alias("at"), F.when(p["ok"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+        return F.aggregate(F.transform(x["m"], part), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda state: state["out"])
 
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+    return let(F.struct(*[c.alias(name) for name, c in fields.items()]), placed)
 
 
 def guarded_spans(text: Column, hint: str, pattern: str, kind: int, keep, group: int = 0) -> Column:

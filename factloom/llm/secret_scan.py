@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import guarded_spans, spans_of_kind, spans_text
+from factloom.llm.common import guarded_spans, let, spans_of_kind, spans_text
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Fixed values of the contract.
@@ -66,41 +66,53 @@ def _values(token: Column, kind: Column) -> Column:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(|Z| > z) by the rational approximation 7.1.26 of Abramowitz and Stegun (error below 2e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    """P(|Z| > z) for z >= 0 by the rational approximation 7.1.26 of Abramowitz and Stegun (error below 2e-7)."""
+    x = z / 1.4142135623730951
+    poly = F.lit(0.0)
+    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        poly = (poly + c) / (1 + 0.3275911 * x)
     return F.greatest(poly * F.exp(-x * x), F.lit(1e-300))
 
 
-def chi3_tail(x: Column) -> Column:
-    """P(chi-squared with 3 degrees of freedom > x)."""
-    root = F.sqrt(x)
-    return F.greatest(normal_tail(root) + F.sqrt(F.lit(0.6366197723675814)) * root * F.exp(-x / 2), F.lit(1e-300))
+def chi3_tail(root: Column) -> Column:
+    """P(chi-squared with 3 degrees of freedom > root squared)."""
+    return F.greatest(normal_tail(root) + 0.7978845608028654 * root * F.exp(-root * root / 2), F.lit(1e-300))
 
 
 def battery(token: Column, kind: Column) -> Column:
     """The combined p-value of the three tests for a token of an inferred encoding."""
-    k = F.when(kind == "hex", 16).when(kind == "base32", 32).otherwise(64)
-
-    def figures(v: Column) -> Column:
-        n = F.size(v).cast("double")
-        parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.size(F.filter(v, lambda x: F.floor(x * 4 / k) == q)).cast("double"))
-        chi = F.aggregate(parts, F.lit(0.0), lambda a, c: a + (c - n / 4) * (c - n / 4) / (n / 4))
-        high = F.size(F.filter(v, lambda x: x * 2 >= k)).cast("double")
-        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] * 2 >= k) != (p["b"] * 2 >= k))).cast("double")
-        expected = 1 + 2 * high * (n - high) / n
-        spread = (expected - 1) * (expected - 2) / (n - 1)
-        runs_z = F.when(spread > 0, (runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(30.0))
-        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-        square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        product = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
-        serial_z = F.when(square > 0, (product / F.greatest(square, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
-        half = -(F.log(chi3_tail(chi)) + F.log(normal_tail(runs_z)) + F.log(normal_tail(serial_z)))
+    size = F.when(kind == "hex", 16).when(kind == "base32", 32).otherwise(64)
+
+    def counted(x: Column) -> Column:
+        v, k = x["v"], x["k"]
+        parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.size(F.filter(v, lambda c: F.floor(c * 4 / k) == q)).cast("double"))
+        high = F.size(F.filter(v, lambda c: c * 2 >= k)).cast("double")
+        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), ((a * 2 >= k) != (b * 2 >= k)).alias("turn")))
+        mean = F.aggregate(v, F.lit(0.0), lambda a, c: a + c) / F.size(v)
+        return F.struct(v.alias("v"), F.size(v).cast("double").alias("n"), parts.alias("parts"), high.alias("high"), pairs.alias("pairs"), mean.alias("mean"))
+
+    def summed(x: Column) -> Column:
+        chi = F.aggregate(x["parts"], F.lit(0.0), lambda a, c: a + (c - x["n"] / 4) * (c - x["n"] / 4) / (x["n"] / 4))
+        runs = 1 + F.size(F.filter(x["pairs"], lambda p: p["turn"])).cast("double")
+        expected = 1 + 2 * x["high"] * (x["n"] - x["high"]) / x["n"]
+        square = F.aggregate(x["v"], F.lit(0.0), lambda a, c: a + (c - x["mean"]) * (c - x["mean"]))
+        product = F.aggregate(x["pairs"], F.lit(0.0), lambda a, p: a + (p["a"] - x["mean"]) * (p["b"] - x["mean"]))
+        return F.struct(x["n"].alias("n"), chi.alias("chi"), runs.alias("runs"), expected.alias("expected"), square.alias("square"), product.alias("product"))
+
+    def scored(x: Column) -> Column:
+        spread = (x["expected"] - 1) * (x["expected"] - 2) / (x["n"] - 1)
+        runs_z = F.when(spread > 0, (x["runs"] - x["expected"]) / F.sqrt(spread)).otherwise(F.lit(30.0))
+        serial_z = F.when(x["square"] > 0, (x["product"] / x["square"] + 1 / x["n"]) * F.sqrt(x["n"])).otherwise(F.lit(30.0))
+        return F.struct(F.sqrt(x["chi"]).alias("chi"), F.abs(runs_z).alias("runs"), F.abs(serial_z).alias("serial"))
+
+    def tails(z: Column) -> Column:
+        return -(F.log(chi3_tail(z["chi"])) + F.log(normal_tail(z["runs"])) + F.log(normal_tail(z["serial"])))
+
+    def fisher(half: Column) -> Column:
         return F.exp(-half) * (1 + half + half * half / 2)
 
-    return F.element_at(F.transform(F.array(_values(token, kind)), figures), 1)
+    start = F.struct(_values(token, kind).alias("v"), size.alias("k"))
+    return let(let(let(let(let(start, counted), summed), scored), tails), fisher)
 
 
 def length_class(n: Column) -> Column:
@@ -112,13 +124,15 @@ def candidates(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     spans = guarded_spans(text, r"[A-Za-z0-9+/_-]{20}", CANDIDATE, 3, lambda m, _: encoding_of(m).isNotNull())
 
-    def tested(x: Column) -> Column:
+    def named(x: Column) -> Column:
         token = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-        kind = encoding_of(token)
-        group = F.concat_ws("/", kind, length_class(x["e"] - x["s"]).cast("string"))
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), group.alias("group"), battery(token, kind).alias("p"))
+        return let(token, lambda t: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), t.alias("token"), encoding_of(t).alias("kind")))
+
+    def tested(x: Column) -> Column:
+        group = F.concat_ws("/", x["kind"], length_class(x["e"] - x["s"]).cast("string"))
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), group.alias("group"), battery(x["token"], x["kind"]).alias("p"))
 
-    return F.transform(spans, tested)
+    return F.transform(F.transform(spans, named), tested)
 
 
 def thresholds(docs: DataFrame, false_rate: float = FALSE_RATE) -> dict[str, float]:
