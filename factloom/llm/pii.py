@@ -2,18 +2,18 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Each distinct value found
 is a protected entity. The method asks how strongly the terms beside an entity's mentions reveal it: over all
-documents, with n(t, e) texts that have term t beside e, n(t) and n(e) that have each, and N in all,
+documents, with n(t, e) that have term t beside e, n(t) that have it anywhere, n(e) that have e, and N in all,
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
 is pointwise mutual information as a share of the entity's information content; it is 1 where the term occurs
-nowhere but beside the entity. Terms from ``THRESHOLD`` on, seen beside it in ``SUPPORT`` texts at least, are
+nowhere but beside the entity. Terms from ``THRESHOLD`` on, seen beside it in ``SUPPORT`` different texts at least, are
 spans of kind ``term`` at those mentions, and are generalised with the entity.
 
-Only counts travel: terms beside entities are a small table, and the corpus is searched for those terms alone.
+Only counts travel: terms beside entities are a small table, and the corpus' terms are counted by partial sums.
 
-Defined results: null text counts as empty and has no span; copies of one text count as one text; repeated rows
-keep a row each with equal results; an empty table gives an empty result. Spans count code points, end excluded;
+Defined results: null text counts as empty and has no span; copies of one text are one text for the support and as many
+documents for the other counts; repeated rows keep a row each with equal results; an empty table gives an empty result. Spans count code points, end excluded;
 kinds may overlap, and replacement merges what overlaps under the label of the first.
 """
 
@@ -100,18 +100,22 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame | None:
-    """(entity, term, disclosure) from the threshold on; None where no term has the support."""
-    beside = found.where("size(beside) > 0").select("text_key", F.explode("beside").alias("x")).select("text_key", "x.entity", "x.term").distinct()
-    together = checkpointed(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
+    """(entity, term, disclosure) from the threshold on; None where no term has the support.
+
+    The corpus' terms are counted before they meet the terms beside entities, so the join sees each term once.
+    """
+    with_terms = found.where("size(beside) > 0")
+    pair = F.transform("beside", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term")))
+    beside = with_terms.select("text_key", F.explode(F.array_distinct(pair)).alias("x")).select("text_key", "x.entity", "x.term")
+    together = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("text_key").alias("texts"))
+    together = checkpointed(together.where(F.col("texts") >= support))
     if together.isEmpty():
         return None
-    wanted = together.select("term").distinct()
-    texts = docs.where("text IS NOT NULL").select(_text_key(F.col("text")).alias("text_key"), F.col("text"))
-    terms = texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = terms.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = found.where("size(spans) > 0").select("text_key", F.explode("beside.entity").alias("entity")).distinct()
+    terms = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entities = with_terms.select(F.explode(F.array_distinct(F.transform("beside", lambda w: w["entity"]))).alias("entity"))
     n_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    total = max(2, found.select("text_key").distinct().count())
+    total = max(2, found.count())
     scored = together.join(n_term, "term").join(n_entity, "entity")
     pmi = F.log(F.col("both") * float(total) / (F.col("n_term") * F.col("n_entity")))
     content = F.log(float(total) / F.col("n_entity"))
