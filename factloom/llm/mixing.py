@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from factloom.llm.common import WORD, checkpointed
 
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
+#: Sources whose cuts are broadcast to the rows; beyond it the rows meet them by a shuffle. A cut is under 300 bytes.
+BROADCAST_SOURCES = 20_000
 #: Hexadecimal digits of the key that name a range: up to 4096 ranges for each source.
 RANGE_DIGITS = 3
 
@@ -75,15 +77,19 @@ def cuts(rows: DataFrame) -> DataFrame:
     budgets = checkpointed(budgets.withColumn("left", F.col("budget") - F.col("epochs") * F.col("source_size")))
     in_source = Window.partitionBy("source").orderBy("range")
     running = ranges.withColumn("before", F.sum("words").over(in_source) - F.col("words"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ends = running.join(budgets.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where("before <= left AND left < before + words").select(F.col("s").alias("source"), "range", (F.col("left") - F.col("before")).alias("left_here"))
-    last = rows.alias("r").join(ends.alias("e"), same_range())
+    last = rows.alias("r").join(_small(checkpointed(ends)).alias("e"), same_range())
     last = last.groupBy(F.col("r.source").alias("source"), "left_here", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     running = last.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("key")) - F.col("words"))
     cut = running.where("before <= left_here AND left_here < before + words")
     cut = cut.select(F.col("source").alias("s"), F.col("key").alias("cut_key"), (F.col("left_here") - F.col("before")).alias("cut_words"), F.col("n").alias("cut_rows"))
-    return budgets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "left")
+    return _small(checkpointed(budgets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "left")))
+
+
+def _small(by_source: DataFrame) -> DataFrame:
+    """A table of a row for each source, marked for broadcast if it is within the limit."""
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
 
 
 def same_range() -> Column:
