@@ -2,7 +2,7 @@
 
 A chunk ends where the gear hash of the last 32 bytes is the least among its neighbours within ``REACH``
 positions on either side. The place depends on the bytes near it alone, so an insertion moves no boundary
-beyond its own surroundings; chunks are at least ``REACH`` bytes long and seldom over three times that.
+beyond its own surroundings; chunks are longer than ``REACH`` bytes and seldom over three times that.
 A chunk is shared when its 128-bit digest occurs in two or more documents. Shared chunks that follow each
 other form a run, and a run of ``MIN_WORDS`` words or more is a repeated passage: in a passage of over 50
 words only the chunks at its two ends, at most, are cut by text that isn't shared.
@@ -12,7 +12,7 @@ so a chunk of a third of all documents is one aggregated row. No pair of documen
 
 Defined results: null and empty texts have no chunks; a passage repeated within one document only isn't
 reported; repeated rows of one doc_id count as one document; a null doc_id takes no part; the first
-holder of a passage is the smallest doc_id among the documents that hold its first chunk.
+holder of a passage is the smallest doc_id among the documents that hold one of its chunks.
 """
 
 from __future__ import annotations
@@ -50,7 +50,6 @@ def boundaries(text: bytes) -> np.ndarray:
     n = len(text)
     if n <= REACH:
         return np.array([n] if n else [], dtype=np.int64)
-    # The low bits see only the last few bytes; turned over, the comparison is led by the bits that see all 32.
     h = gear(np.frombuffer(text, dtype=np.uint8))
     worst = np.uint32(0xFFFFFFFF)
     least, wide = h, 1
@@ -62,8 +61,11 @@ def boundaries(text: bytes) -> np.ndarray:
     after = np.append(least[1:], worst)
     before = np.append(np.full(REACH, worst), least[: n - REACH])
     ends = np.nonzero((h < before) & (h < after))[0] + 1
-    ends = ends[(ends >= REACH) & (ends < n)]
-    return np.append(ends, n)
+    ends = ends[(ends > REACH) & (ends < n)]
+    data = np.frombuffer(text, dtype=np.uint8)
+    for _ in range(3):  # never inside a character
+        ends = ends + (data[np.minimum(ends, n - 1)] & 0xC0 == 0x80)
+    return np.append(ends[ends < n], n)
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +110,16 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_chunks, _CHUNK)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: (doc_id, start, end, words, chunks, first_doc_id), places in UTF-8 bytes, end exclusive."""
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, later_only: bool = False) -> DataFrame:
+    """Repeated passages: (doc_id, start, end, words, chunks, first_doc_id), places in UTF-8 bytes, end exclusive.
+
+    ``later_only`` takes of each document only chunks that a document of a smaller doc_id holds.
+    """
     parts = chunk_table(docs)
     shared = parts.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").drop("last_doc_id")
     hits = parts.join(shared, ["hi", "lo"]).select("doc_id", "at", "size", "words", "first_doc_id").distinct()
+    if later_only:
+        hits = hits.where("first_doc_id < doc_id")
     # A document's chunks tile it, so a run continues while a chunk begins where the one before ended.
     order = Window.partitionBy("doc_id").orderBy("at")
     ends = F.lag(F.col("at") + F.col("size")).over(order)
@@ -122,14 +129,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.max(F.col("at") + F.col("size")).alias("end"),
         F.sum("words").alias("words"),
         F.count(F.lit(1)).alias("chunks"),
-        F.min_by("first_doc_id", "at").alias("first_doc_id"),
+        F.min("first_doc_id").alias("first_doc_id"),
     )
     return found.where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "chunks", "first_doc_id")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text): texts without the passages that a document of a smaller doc_id holds too."""
-    found = repeated_passages(docs, min_words).where("first_doc_id < doc_id")
+    found = repeated_passages(docs, min_words, later_only=True)
     cuts = checkpointed(found).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("data")).join(cuts, "doc_id", "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))

@@ -45,6 +45,8 @@ def text_bytes(name: str = "text") -> Column:
 
 def raw_bytes(column: pa.Array) -> Iterator[memoryview]:
     """Each value of a binary Arrow array as a view, without copying."""
+    if not len(column):
+        return
     _, offsets, data = column.buffers()
     wide = pa.types.is_large_binary(column.type)
     places = memoryview(offsets).cast("q" if wide else "i")[column.offset : column.offset + len(column) + 1]
