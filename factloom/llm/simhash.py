@@ -168,12 +168,12 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the row whose doc_id is the component's id, once.
 
-    Documents without any doc_id in their component all stay: nothing names one of them.
+    Rows without a doc_id stay: nothing names one of them.
     """
     found = near_duplicates(docs)
-    kept = found.where("component_id IS NULL OR doc_id = component_id").groupBy("doc_id").count()
+    kept = checkpointed(found.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").count())
+    stay = docs.join(kept.select(F.col("doc_id").alias("__kept_id")), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     again = kept.where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    stay = docs.join(kept.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    once = stay.join(again, "doc_id", "left_anti")
-    repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    if again.isEmpty():
+        return stay
+    return stay.join(again, "doc_id", "left_anti").unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
