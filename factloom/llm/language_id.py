@@ -3,8 +3,8 @@
 N-grams (one to four bytes of the ASCII-lower-cased UTF-8 text) are hashed to ``BUCKETS`` features. Document
 frequencies are counted over every training document. Weights are learned with FTRL-proximal (elastic net)
 from a sample bounded by ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id; a quarter
-of the sample is left out of learning and sets the softmax temperature. Whole texts are used throughout:
-a text's features are its relative n-gram frequencies times idf.
+of the sample is left out of learning and sets the softmax temperature. Whole texts are used throughout. A feature's
+value is (1 + log tf) idf, scaled to unit length over the text, so a phrase repeated many times doesn't outweigh the rest.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text when no
 training document has a language; a null lang is not learned from; ties go to the first language by code
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
 
 ORDERS, BUCKETS, PER_LANGUAGE = (1, 2, 3, 4), 1 << 15, 600
-#: Relative frequencies are multiplied by this, so that a common n-gram's value is near 1.
-SCALE = 10.0
+#: Length of a text's vector.
+SCALE = 5.0
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2; passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.01, 4
+ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.1, 0.01, 4
 #: Bytes hashed at once.
 SLICE = 1 << 20
 
@@ -62,6 +62,12 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at]
 
 
+def values(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF values of a text's features, a vector of length ``SCALE``."""
+    value = (1 + np.log(counts)) * idf[at]
+    return value * (SCALE / max(1e-12, float(np.sqrt(value @ value))))
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, documents that have it) of a task; feature -1 counts the documents."""
     found, n = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -88,17 +94,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     languages: list[str]
-    #: idf times weight, a row for each feature.
+    #: A row for each feature.
     weights: np.ndarray
     bias: np.ndarray
+    idf: np.ndarray
     temperature: float
 
     def logits(self, text: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
-        for part in ngrams(text):
-            total += self.weights.take(part, axis=0).sum(axis=0, dtype=np.float64)
-            n += len(part)
-        return total / max(1, n) + self.bias
+        at, counts = features(text)
+        return values(at, counts, self.idf) @ self.weights[at] + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
         z = self.logits(text) / self.temperature
@@ -116,9 +120,8 @@ def train(rows: list[tuple], idf: np.ndarray) -> Model:
     # The last row is the bias, a feature of its own.
     examples = []
     for _, lang, at, counts in rows:
-        at, value = np.asarray(at, dtype=np.intp), np.asarray(counts, dtype=np.float64)
-        value = value * idf[at] * (SCALE / max(1.0, value.sum()))
-        examples.append((np.append(at, BUCKETS), np.append(value, 1.0), label[lang]))
+        at = np.asarray(at, dtype=np.intp)
+        examples.append((np.append(at, BUCKETS), np.append(values(at, np.asarray(counts), idf), 1.0), label[lang]))
     fit, held = [x for i, x in enumerate(examples) if i % 4], examples[::4]
     fit = fit or examples
 
@@ -146,7 +149,7 @@ def train(rows: list[tuple], idf: np.ndarray) -> Model:
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(truth)), truth]).mean())
 
     temperature = min(np.geomspace(0.05, 20, 121), key=loss) if len(truth) else 1.0
-    return Model(languages, (w[:BUCKETS] * idf[:, None] * SCALE).astype(np.float32), w[BUCKETS], float(temperature))
+    return Model(languages, w[:BUCKETS], w[BUCKETS], idf, float(temperature))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

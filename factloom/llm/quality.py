@@ -28,7 +28,7 @@ from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: Words of a language's reference; distances above which a document is rejected; least sizes to be judged.
 COMMON_WORDS = 50
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
 MIN_CHARS, MIN_COMMON_GUARD = 200, 100
 #: Words a counting task holds before it hands its counts on.
 HELD_WORDS = 300_000
