@@ -6,9 +6,11 @@ Forward and reverse follow a commit strongly; the search index may lag, and says
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import reference_key, tokenize
@@ -82,6 +84,30 @@ def hits(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
+def explained(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, ref, summary, matched_terms): which of a query's terms a reference matched, sorted."""
+    met = postings(texts).join(query_terms(queries).distinct(), "term")
+    found = met.groupBy("query_id", "ref").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    summary = F.concat(F.lit("matched "), F.size("matched_terms").cast("string"), F.lit(" terms"))
+    return found.select("query_id", "ref", summary.alias("summary"), "matched_terms")
+
+
+class SearchProvider(Protocol):
+    """An external search index: hits (query_id, ref, score) for queries (query_id, text)."""
+
+    def search(self, queries: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class PostingsProvider:
+    """The provider over a postings table."""
+
+    table: DataFrame
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        return search(self.table, queries)
+
+
 def search_sync(index: DataFrame, changes: DataFrame, texts: DataFrame) -> DataFrame:
     """Postings after a commit's changes (source, reference, removed); every upsert needs a text."""
     key = ["source", "reference"]
@@ -127,6 +153,23 @@ class IndexState:
         self.state = "rebuilding"
 
 
+def persist(table: DataFrame, state: IndexState, folder: str) -> None:
+    """An index as a Parquet table of its version, clustered by its first column, and then the state that names it."""
+    from factloom.sources.store import Files
+
+    key = table.columns[0]
+    table.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{folder}/{state.name}/{state.version:012d}")
+    Files(table.sparkSession, folder).replace(f"{folder}/{state.name}.json", json.dumps(asdict(state)))
+
+
+def load(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, IndexState]:
+    """A persisted index with its state; a condition on the first column reaches the sorted files."""
+    from factloom.sources.store import Files
+
+    state = IndexState(**json.loads(Files(spark, folder).read(f"{folder}/{name}.json")))
+    return spark.read.parquet(f"{folder}/{name}/{state.version:012d}"), state
+
+
 @dataclass
 class Synchroniser:
     """Applies a commit to the indexes: checks its coverage and base version, repeats idempotently, isolates failures."""

@@ -10,6 +10,7 @@ provisional and premises match accepted or known assertions alone, so a run deri
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -201,11 +202,16 @@ class Reasoned:
     expanded: int
 
 
-def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pattern | None = None) -> Reasoned:
-    """A budgeted run. The goal filters the assertions themselves and prunes rules that can't reach it."""
+def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pattern | None = None, seconds: float | None = None) -> Reasoned:
+    """A budgeted run. The goal filters the assertions themselves and prunes rules that can't reach it.
+
+    ``seconds`` limits the driver's wall clock: a run past it when its matches are counted derives nothing. The profiles'
+    own seconds are meant for one process and would make results depend on the cluster, so they apply only when passed.
+    """
     if profile not in r.PROFILES:
         raise r.RuleError("reasoning is disabled" if profile == "none" else f"unknown profile {profile!r}")
     budgets, kinds = r.PROFILES[profile]
+    deadline = None if seconds is None else time.monotonic() + seconds
     working = assertions.where(may_match(goal)) if goal else assertions
     size = working.limit(budgets.max_expansion + 1).count()
     status, message = "complete", None
@@ -220,6 +226,8 @@ def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pa
     matches = apply_rules(rules, working, scoped=False).orderBy(*order).limit(budgets.max_applications + 1)
     numbered = matches.withColumn("n", F.row_number().over(Window.orderBy(*order))).persist()
     n_matches = numbered.count()
+    if deadline is not None and time.monotonic() >= deadline:
+        return Reasoned(empty, conflicts(assertions), "incomplete", "execution time budget exceeded", 0, size)
     kept = deduplicated(numbered.where((F.col("n") <= budgets.max_applications) & F.col("in_scope")))
     known = working.select("assertion_id", F.lit(True).alias("known"))
     kept = kept.join(known, "assertion_id", "left").withColumn("is_new", F.col("known").isNull())

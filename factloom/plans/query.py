@@ -7,6 +7,7 @@ actions, and only where an error must be raised (an offset beyond the end, an un
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
@@ -52,6 +53,8 @@ class Options:
     offset: int = 0
     cursor: str | None = None
     reasoning: str = "none"
+    #: A ranking provider of one's own: candidate columns by name -> score Column.
+    score: Callable[[dict[str, Column]], Column] | None = None
 
     def validate(self) -> None:
         self.filter.validate()
@@ -183,12 +186,12 @@ def _columns(df: DataFrame) -> dict[str, Column]:
     return {name: F.col(name) for name in df.columns}
 
 
-def scored(candidates: DataFrame, profile: str) -> DataFrame:
-    """Candidates with score, stable key, path key and path length."""
+def scored(candidates: DataFrame, profile: str, score: Callable[[dict[str, Column]], Column] | None = None) -> DataFrame:
+    """Candidates with score, stable key, path key and path length; ``score`` replaces the profile's score."""
     c = _columns(candidates)
     return candidates.select(
         "*",
-        scoring.score(profile, c).alias("score"),
+        (score(c).cast("bigint") if score else scoring.score(profile, c)).alias("score"),
         stable_key(F.col("reference")).alias("stable_key"),
         path_key(F.col("path")).alias("path_key"),
         F.greatest(F.lit(0), F.coalesce(F.size("path"), F.lit(0))).alias("path_length"),
@@ -211,7 +214,7 @@ def visible(candidates: DataFrame, options: Options) -> DataFrame:
 
 def top(candidates: DataFrame, options: Options) -> DataFrame:
     """The first offset + limit rows in order, with their position: each task keeps that many, so nothing is sorted whole."""
-    rows = scored(visible(candidates, options), options.ranking)
+    rows = scored(visible(candidates, options), options.ranking, options.score)
     order = order_of(options.ordering)
     first = rows.orderBy(*order).limit(options.offset + options.limit)
     return first.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)

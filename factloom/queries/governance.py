@@ -303,6 +303,27 @@ def index_reverse(spark, sf_dir):
     return index.forward(targets).select("index_id").join(index.reverse(targets), "index_id").select("reference", "index_id")
 
 
+@register(
+    "match_explanation",
+    f"""WITH q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) x), d AS (SELECT DISTINCT 'doc-' || doc_id AS doc, term FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) x)
+    SELECT item_id, doc, 'matched ' || count(*) || ' terms' AS summary, string_agg(term, ',' ORDER BY term) AS terms FROM q JOIN d USING (term) WHERE term <> '' GROUP BY item_id, doc""",
+)
+def match_explanation(spark, sf_dir):
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = index.explained(_texts(spark, sf_dir), queries)
+    return found.select(F.col("query_id").alias("item_id"), F.element_at(F.split("ref", "\x1f"), 2).alias("doc"), "summary", F.array_join("matched_terms", ",").alias("terms"))
+
+
+@register("index_persisted", "SELECT 'part-' || p_partkey AS reference, sha256('entity' || chr(31) || 'part-' || p_partkey) AS index_id, CAST(7 AS BIGINT) AS version FROM part")
+def index_persisted(spark, sf_dir):
+    """The forward map written with its state and read again."""
+    targets = _table(spark, sf_dir, "part").select(F.lit("entity").alias("target_kind"), F.concat(F.lit("part-"), "p_partkey").alias("reference"))
+    folder = f"{_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.persist(index.forward(targets).select("reference", "target_kind", "index_id"), index.IndexState("forward", True, version=7), folder)
+    table, state = index.load(spark, "forward", folder)
+    return table.select("reference", "index_id", F.lit(state.version).cast("long").alias("version"))
+
+
 @register("index_sync", "SELECT 'part-' || p_partkey AS reference FROM part WHERE p_partkey % 3 <> 1")
 def index_sync(spark, sf_dir):
     """A map of two thirds of the parts after a batch that writes the last third and removes one."""

@@ -127,7 +127,17 @@ _filtered("filter_all", f.All(), "true", "nations")
 _filtered("filter_none", f.Nothing(), "false", "nations")
 _filtered("filter_source", f.Source("suppliers"), "source_id = 'suppliers'", "suppliers", "nations")
 _filtered("filter_authority", f.Authority("source-reliability", "high"), "auth = 'high'", "suppliers", "nations")
-_filtered("filter_evidence", f.Evidence("line-1-1-1-1"), "list_contains(evidence, 'line-1-1-1-1')", "lines")
+
+
+@register("filter_evidence", f"{fixture.duckdb_facts('lines', 'supply')} SELECT {_KEY} AS stable_key, pred AS predicate FROM facts WHERE list_contains(evidence, (SELECT min(list_extract(evidence, 1)) FROM facts))")
+def filter_evidence(spark, sf_dir):
+    """Assertions that rest on the first of all evidence ids."""
+    known = fixture.assertions(spark, sf_dir, "lines", "supply")
+    least = known.agg(F.min(F.get("evidence_ids", F.lit(0)))).first()[0]
+    kept = visible(candidates(known, "lookup"), Options(filter=f.Evidence(least), visibility=_SEEN))
+    return kept.select(F.concat_ws(":", "reference.kind", "reference.id").alias("stable_key"), "predicate")
+
+
 _filtered("filter_valid_at", f.ValidAt(_JAN2), f"(tag = 'instant' AND s_us = {_JAN2 * _US}) OR (tag IN ('interval', 'open-ended') AND s_us <= {_JAN2 * _US} AND (e_us IS NULL OR {_JAN2 * _US} < e_us))", "events")
 _filtered("filter_valid_at_instant", f.ValidAt(_DAY), f"s_us = {_DAY * _US}", "orders")
 _filtered("filter_valid_during", f.ValidDuring(("inclusive", _JAN2), ("exclusive", _JAN3)), _OVERLAP.format(a=_JAN2 * _US, b=_JAN3 * _US), "events")

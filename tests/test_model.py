@@ -7,7 +7,7 @@ from factloom.functions import temporal, text
 from factloom.operators import contradiction, graph, ingestion, metadata, ontology, reasoning, resolution, versioning
 from factloom.plans import filters as f
 from factloom.plans import rules as r
-from factloom.plans.query import Budget, Lookup, Operator, Options, Plan, QueryError, Retrieval, Traversal, execute, page, plan
+from factloom.plans.query import Budget, Lookup, Operator, Options, Plan, QueryError, Retrieval, Traversal, execute, page, plan, top
 from factloom.operators.access import SparkAccess, candidates
 from factloom.schema import ASSERTION, ddl
 
@@ -273,6 +273,18 @@ def test_context_and_qualifiers_merge(spark):
     assert [tuple(e) for e in got.qualifiers] == [("q", "1"), ("r", "2")]
 
 
+def test_time_budget(spark):
+    done = reasoning.reason(table(spark, assertion("a", "p", "b"), assertion("b", "p", "c")), registry(TRANSITIVE), "deep", seconds=0)
+    assert (done.status, done.derived.count()) == ("incomplete", 0)
+
+
+def test_ranking_provider(spark):
+    rows = candidates(table(spark, assertion("a", "p", "b"), assertion("a", "p", "c", id_="zz")), "lookup")
+    by_id = lambda c: F.when(c["reference"]["id"] == "zz", 5000).otherwise(1)
+    found = top(rows, Options(score=by_id)).orderBy("position").collect()
+    assert [x.score for x in found] == [5000, 1]
+
+
 def test_conflicts(spark):
     known = table(spark, assertion("a", "p", "b"), assertion("a", "p", "b", polarity="negative"), assertion("a", "p", "c"))
     assert reasoning.conflicts(known).count() == 1
