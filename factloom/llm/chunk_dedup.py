@@ -2,7 +2,8 @@
 
 A chunk ends where the gear hash of the last 32 bytes is the least among its neighbours within ``REACH``
 positions on either side. The place depends on the bytes near it alone, so an insertion moves no boundary
-beyond its own surroundings; chunks are longer than ``REACH`` bytes and seldom over three times that.
+beyond its own surroundings; chunks are longer than ``REACH`` bytes and seldom over three times that. Where a
+phrase of up to ``REACH`` bytes repeats, equal minima come closer and are thinned to that distance.
 A chunk is shared when its 128-bit digest occurs in two or more documents. Shared chunks that follow each
 other form a run, and a run of ``MIN_WORDS`` words or more is a repeated passage: in a passage of over 50
 words only the chunks at its two ends, at most, are cut by text that isn't shared.
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from factloom.llm.common import bounded_batches, checkpointed, raw_bytes
 
-WINDOW, REACH, MIN_WORDS = 32, 24, 30
+WINDOW, REACH, MIN_WORDS = 32, 24, 25
 #: Random value of each byte, from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -60,14 +61,27 @@ def boundaries(text: bytes) -> np.ndarray:
     least = np.minimum(least, np.append(least[rest:], np.full(rest, worst)))  # of [i, i + REACH)
     after = np.append(least[1:], worst)
     before = np.append(np.full(REACH, worst), least[: n - REACH])
-    ends = np.nonzero((h < before) & (h < after))[0] + 1
-    ends = ends[(ends > REACH) & (ends < n)]
+    ends = np.nonzero((h <= before) & (h <= after))[0] + 1
+    ends = _apart(ends[(ends > REACH) & (ends < n)])
     data = np.frombuffer(text, dtype=np.uint8)
     for _ in range(3):  # never inside a character
         ends = ends + (data[np.minimum(ends, n - 1)] & 0xC0 == 0x80)
     return np.append(ends[ends < n], n)
 
 
+def _apart(ends: np.ndarray) -> np.ndarray:
+    """Ends more than ``REACH`` apart. Only equal minima are closer, where a short phrase repeats; there every choice of
+    ends leaves the same chunks, as they begin at the same place of the phrase."""
+    if len(ends) < 2 or int(np.diff(ends).min()) > REACH:
+        return ends
+    kept, last = [], -REACH
+    for end in ends.tolist():
+        if end - last > REACH:
+            kept.append(end)
+            last = end
+    return np.array(kept, dtype=np.int64)
+
+
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     ends = boundaries(text)
     return np.append(0, ends[:-1]) if len(ends) else ends, ends

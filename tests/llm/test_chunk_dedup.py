@@ -15,8 +15,11 @@ def slow_boundaries(data):
     h, n = slow_gear(data), len(data)
     if n <= cd.REACH:
         return [n] if n else []
-    ends = [i + 1 for i in range(n) if all(h[i] < h[j] for j in range(max(0, i - cd.REACH), min(n, i + cd.REACH + 1)) if j != i)]
-    return [e for e in ends if cd.REACH < e < n] + [n]
+    ends, last = [], -cd.REACH
+    for i in range(cd.REACH, n - 1):
+        if all(h[i] <= h[j] for j in range(max(0, i - cd.REACH), min(n, i + cd.REACH + 1))) and i + 1 - last > cd.REACH:
+            ends.append(last := i + 1)
+    return [*ends, n]
 
 
 @pytest.mark.parametrize("n", [0, 1, 24, 25, 60, 500, 3000])
@@ -27,6 +30,18 @@ def test_boundaries_by_definition(n):
     assert cd.boundaries(data).tolist() == slow_boundaries(data)
 
 
+@pytest.mark.parametrize("phrase", ["x", "Heat ", "Erberte Erb, ", "twenty four bytes long, "])
+def test_repeated_phrases_are_cut_alike_wherever_they_begin(phrase):
+    stretch = (phrase * 400).encode()
+    inside = []
+    for lead in (b"", b"some other beginning ", prose(5, 40, None).encode(), prose(6, 71, None).encode()):
+        data = lead + stretch + b" and an end of its own"
+        assert cd.boundaries(data[:900]).tolist() == slow_boundaries(data[:900])
+        start, end = cd.chunks(data)
+        inside.append({data[a:b] for a, b in zip(start, end) if a > len(lead) + 60 and b < len(lead) + len(stretch)})
+    assert all(x == inside[0] and len(x) == 1 for x in inside)
+
+
 def test_chunks_are_whole_characters():
     data = "".join(chr(0x3040 + i * i % 90) + "é𝒳"[i % 2] for i in range(900)).encode()
     start, end = cd.chunks(data)
