@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.operators.lineage import cut
 from factloom.schema import REF, STEP
 
 #: Rows of the relationship table that may be broadcast.
 BROADCAST_RELATIONSHIPS = 10_000
+#: Levels of a path search that stay one lazy plan.
+PLAIN_LEVELS = 3
 
 
 class GraphError(ValueError):
@@ -141,12 +144,17 @@ def paths(graph: DataFrame, relationships: DataFrame, start: tuple[str, str] | D
     budgeted = bounds.max_edges is not None
     attempts: DataFrame | None = None
     incidence = graph.select("edge_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("node")) if budgeted else None
-    for _ in range(bounds.max_depth):
+    for level in range(bounds.max_depth):
         grown = frontier.join(walkable, frontier["end"] == walkable["from"]).where(~F.array_contains("seen", F.col("to")))
         if budgeted:
             tried = frontier.join(incidence, frontier["end"] == incidence["node"]).select("start", F.concat("keys", F.array("edge_id")).alias("attempt"))
             attempts = tried if attempts is None else attempts.unionByName(tried)
         frontier = grown.select("start", F.concat("path", F.array("step")).alias("path"), F.col("to").alias("end"), F.concat("keys", F.array("edge_id")).alias("keys"), F.concat("seen", F.array("to")).alias("seen"))
+        if PLAIN_LEVELS <= level + 1 < bounds.max_depth:
+            # Beyond a few levels the plan would repeat all joins before; the frontier is cut off and may have run dry.
+            frontier = cut(frontier)
+            if frontier.isEmpty():
+                break
         out = out.unionByName(frontier)
     if attempts is not None:
         numbered = attempts.withColumn("work", F.row_number().over(Window.partitionBy("start").orderBy("attempt"))).where(F.col("work") <= bounds.max_edges)

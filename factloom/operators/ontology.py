@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.lineage import cut
+
 #: Rounds of a reachability search that had no end before; each doubles the distance covered.
 MAX_ROUNDS = 40
 
@@ -58,7 +60,7 @@ def reachable(edges: DataFrame) -> DataFrame:
     known = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct()
     before = -1
     for _ in range(MAX_ROUNDS):
-        known = known.checkpoint()
+        known = cut(known)
         size = known.count()
         if size == before:
             return known
@@ -74,10 +76,10 @@ def descendants(edges: DataFrame, key: str) -> DataFrame:
     frontier = found
     for _ in range(1 << 16):
         further = edges.join(frontier, edges["parent"] == frontier["key"]).select(F.col("child").alias("key")).distinct()
-        frontier = further.join(found, "key", "left_anti").checkpoint()
+        frontier = cut(further.join(found, "key", "left_anti"))
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier).checkpoint()
+        found = cut(found.unionByName(frontier))
     raise OntologyError("the taxonomy is too deep")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import assertion_id, predicate_local
+from factloom.operators.lineage import cut
 from factloom.plans import rules as r
 from factloom.schema import ASSERTION, PAIRS
 
@@ -253,7 +254,7 @@ def closure(rule: r.Rule, assertions: DataFrame, max_depth: int = 16) -> DataFra
     known = assertions
     for _ in range(max_depth):
         new = derived_set(apply_rule(rule, known)).drop("traces").withColumn("status", F.lit("accepted"))
-        new = new.join(known.select("assertion_id"), "assertion_id", "left_anti").select(*ASSERTION).checkpoint()
+        new = cut(new.join(known.select("assertion_id"), "assertion_id", "left_anti").select(*ASSERTION))
         if new.isEmpty():
             break
         known = known.select(*ASSERTION).unionByName(new)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal, text
 from factloom.operators import index, ingestion, metadata, ontology, versioning
+from factloom.operators.lineage import checkpoint_folder as _folder
 from factloom.queries.registry import register
 from factloom.sources import fixture, json_source, store
 from factloom.streaming import ingest as streaming
@@ -17,14 +17,6 @@ _facts = fixture.duckdb_facts
 _table = fixture.table
 
 
-def _folder(spark) -> str:
-    """A shared folder for tables of a query's own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 # Ontology: region <- nation <- customer and supplier as a class tree.
 _EDGES = """WITH e AS (SELECT 'nation-' || n_nationkey AS child, 'region-' || n_regionkey AS parent FROM nation UNION SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey FROM customer
     UNION SELECT 'supplier-' || s_suppkey, 'nation-' || s_nationkey FROM supplier)"""
@@ -39,19 +31,13 @@ def _edges(spark, sf_dir):
     return out.distinct()
 
 
-def _checkpoints(spark):
-    _folder(spark)
-
-
 @register("taxonomy_descendants", f"{_EDGES} SELECT child AS key FROM e WHERE parent = 'region-1' UNION SELECT b.child FROM e a JOIN e b ON b.parent = a.child WHERE a.parent = 'region-1'")
 def taxonomy_descendants(spark, sf_dir):
-    _checkpoints(spark)
     return ontology.descendants(_edges(spark, sf_dir), "region-1")
 
 
 @register("taxonomy_reachable", f"{_EDGES}, r AS (SELECT child, parent FROM e UNION SELECT a.child, b.parent FROM e a JOIN e b ON a.parent = b.child) SELECT child AS descendant, parent AS ancestor FROM r")
 def taxonomy_reachable(spark, sf_dir):
-    _checkpoints(spark)
     return ontology.reachable(_edges(spark, sf_dir))
 
 
@@ -70,7 +56,6 @@ def taxonomy_parents_children(spark, sf_dir):
 )
 def ontology_report(spark, sf_dir):
     """A class tree with one cycle (region-0 below nation-0, which is put below region-0), and one fault of each other kind."""
-    _checkpoints(spark)
     region, nation = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
     classes = region.select(F.concat(F.lit("region-"), "r_regionkey").alias("key")).unionByName(nation.select(F.concat(F.lit("nation-"), "n_nationkey").alias("key")))
     classes = classes.unionByName(classes.where("key = 'region-4'"))
