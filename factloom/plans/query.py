@@ -132,7 +132,7 @@ def validate(request: Request) -> None:
     request.options.validate()
     if isinstance(request, Traversal):
         request.budget.validate()
-        if request.direction not in ("forward", "inverse", "both"):
+        if request.direction not in ("forward", "inverse"):
             raise QueryError("unknown traversal direction")
     if isinstance(request, Retrieval):
         kind, value = request.target

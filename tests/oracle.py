@@ -18,7 +18,7 @@ def rows(columns, table):
 
 
 def assert_equal(found, con, sql):
-    expected = con.execute(sql).to_arrow_table().to_pylist()
+    expected = con.sql(sql).to_arrow_table().to_pylist()
     columns = sorted(found.columns)
     names = sorted(x[0] for x in con.execute(f"DESCRIBE {sql}").fetchall())
     assert columns == names
