@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
+from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 UNIT, RATE, OUT_RATE, MULAW, ALAW, ADPCM = 64, 8000, 16000, 7, 6, 0x11
 #: Samples expanded at once.
@@ -204,4 +204,4 @@ def op6_audio(spark, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string"
-    return rows.mapInArrow(_figures_of, schema)
+    return spread(rows).mapInArrow(_figures_of, schema)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
+from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 #: The published splitting pattern of this vocabulary family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -239,7 +239,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding of whole texts in one pass."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return rows.mapInArrow(_digests(path or default_vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(rows).mapInArrow(_digests(path or default_vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

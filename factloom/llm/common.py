@@ -38,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input comes in fewer parts than there are cores (one small file); a larger input
+    stays as it is read. For work that costs much more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
+from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 ORDERS, BUCKETS, PER_LANGUAGE = (1, 2, 3, 4), 1 << 15, 600
 #: Length of a text's vector.
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     bounded_batches(docs.sparkSession)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_bytes().alias("text"), lettered.alias("lettered"))
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(rows).mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:

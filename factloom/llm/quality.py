@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import bounded_batches, raw_bytes, text_bytes
+from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: Words of a language's reference; distances above which a document is rejected; least sizes to be judged.
@@ -146,7 +146,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, dict]:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").select("lang", text_bytes().alias("text"))
-    counted = rows.mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = spread(rows).mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # One window takes the common words and, being fewer, all classes and the total too: the corpus is read once.
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     wanted = counted.withColumn("place", place).where(F.col("place") <= max(common, len(CLASSES))).drop("place")
@@ -216,7 +216,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """The base figures, the distances and the verdict of every document."""
     known = references(docs)
     rows = docs.select(F.col("doc_id").cast("long"), "lang", text_bytes().alias("text"))
-    return rows.mapInArrow(_judge(known), _OUT)
+    return spread(rows).mapInArrow(_judge(known), _OUT)
 
 
 def _keep(known: dict[str, dict], lang_at: int, text_at: int):
