@@ -33,8 +33,9 @@ ASSIGN = NAMES + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_LENGTH, FALSE_RATE, LEVELS = 20, 0.05, 50
-#: A candidate starts where its run of characters starts, so a long run is scanned once.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_-]{20,}+={0,2}+"
+#: A candidate starts where its run of characters starts, so a long run is scanned once; an equals sign is no part of the
+#: run, so the value of NAME=value is one.
+CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{20,}+={0,2}+"
 #: Alphabet of each encoding, in the order of its values; base64 takes both forms of its last two characters.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 

@@ -106,6 +106,15 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 120 and not any(got[i] for i, *_ in plain_prose) and sum(bool(got[i]) for i, *_ in wordy) <= 0.1 * hits
 
 
+def test_random_values_of_names_are_candidates(spark):
+    """An unquoted NAME=value or ?sig=value is tested like a token of its own."""
+    token, upper = random_tokens(1, 5)[0], "0123456789ABCDEF" * 2
+    texts = [f"AWS_KEY={token}", f"see ?sig={token}&x=1", f"ID=={upper} end", f"sig: {token}", f"{token}=={token}"]
+    found = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).select("doc_id", secret_scan.candidates(F.col("text")).alias("x")).collect()
+    got = {r.doc_id: [texts[r.doc_id][c["s"] : c["e"]] for c in r.x] for r in found}
+    assert got == {0: [token], 1: [token], 2: [upper], 3: [token], 4: [f"{token}==", token]}
+
+
 def test_disclosing_terms(spark):
     """A rare name beside one address in several texts discloses it; words found everywhere don't."""
     rows = [(i, f"note {i} from zebulon quark via zq@mail.example.com about {prose(i, 6)}", "en", "a") for i in range(5)]
