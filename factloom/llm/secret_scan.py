@@ -10,9 +10,9 @@ character kinds it must mix), its characters become numbers 0..k-1, and a batter
 * serial correlation of neighbours (normal score).
 
 Fisher's method combines the three p-values (6 degrees of freedom, a closed form). Random strings have uniform
-combined p-values and ordinary words small ones. For every class of encoding and length, a histogram over the
-whole corpus estimates how many of the candidates above a level are random: twice the number above one half, as far
-as they are uniform, times one less the level. The lowest level at which the others make up at most ``FALSE_RATE``
+combined p-values and ordinary words small ones. For every class of encoding and length, a histogram of the whole
+corpus' distinct tokens (copies of one are one draw) estimates how many of the candidates above a level are random:
+twice the number above one half, as far as they are uniform, times one less the level. The lowest level at which the others make up at most ``FALSE_RATE``
 of what is accepted is the class's threshold; a class in which no level reaches that accepts nothing.
 
 Defined results: null text counts as empty and has no span; rows pass one by one, repeated rows included; an
@@ -57,9 +57,14 @@ def encoding_of(token: Column) -> Column:
     )
 
 
+def _plain(token: Column, kind: Column) -> Column:
+    """A token in one of the forms its encoding leaves open: lower case, no padding, one pair of last characters."""
+    return F.when(kind == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
+
+
 def _values(token: Column, kind: Column) -> Column:
     """A token's characters as numbers of its alphabet."""
-    plain = F.when(kind == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
+    plain = _plain(token, kind)
     alphabet = F.lit(ALPHABETS["base64"])
     for name in ("hex", "base32"):
         alphabet = F.when(kind == name, F.lit(ALPHABETS[name])).otherwise(alphabet)
@@ -121,7 +126,7 @@ def length_class(n: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<s, e, kind, group, p>> of the tokens with an inferred encoding."""
+    """array<struct<s, k, e, group, p, key>> of the tokens with an inferred encoding; ``key`` is a digest of the token."""
     text = F.coalesce(text, F.lit(""))
     spans = guarded_spans(text, r"[A-Za-z0-9+/_-]{20}", CANDIDATE, 3, lambda m, _: encoding_of(m).isNotNull())
 
@@ -131,19 +136,20 @@ def candidates(text: Column) -> Column:
 
     def tested(x: Column) -> Column:
         group = F.concat_ws("/", x["kind"], length_class(x["e"] - x["s"]).cast("string"))
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), group.alias("group"), battery(x["token"], x["kind"]).alias("p"))
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), group.alias("group"), battery(x["token"], x["kind"]).alias("p"), F.md5(_plain(x["token"], x["kind"]).cast("binary")).alias("key"))
 
     return F.transform(F.transform(spans, named), tested)
 
 
 def thresholds(docs: DataFrame, false_rate: float = FALSE_RATE) -> dict[str, float]:
-    """The least accepted combined p-value of each class of encoding and length, from the whole corpus.
+    """The least accepted combined p-value of each class of encoding and length, from the distinct tokens of the whole corpus.
 
-    The driver gets ``LEVELS`` counts for each of at most fifteen classes.
+    A token has one p-value and so one level. The driver gets ``LEVELS`` counts for each of at most fifteen classes.
     """
     found = docs.where(F.col("text").rlike(r"[A-Za-z0-9+/_-]{20}")).select(F.explode(candidates(F.col("text"))).alias("x"))
     level = F.least(F.floor(F.col("x.p") * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    counted = found.groupBy(F.col("x.group").alias("group"), level.alias("level")).count().collect()
+    distinct = found.select(F.col("x.group").alias("group"), level.alias("level"), F.col("x.key").alias("key")).distinct()
+    counted = distinct.groupBy("group", "level").count().collect()
     histograms: dict[str, list[int]] = {}
     for group, at, n in counted:
         histograms.setdefault(group, [0] * LEVELS)[at] = n

@@ -106,6 +106,19 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 120 and not any(got[i] for i, *_ in plain_prose) and sum(bool(got[i]) for i, *_ in wordy) <= 0.1 * hits
 
 
+def test_copies_of_a_token_are_one_token(spark):
+    """A token copied hundreds of times, wherever its p-value lies, leaves its class's level as it is."""
+    tokens = random_tokens(120, 2) + [f"Internationalization{chr(65 + i)}9Handlers" for i in range(26)]
+    rows = [(i, f"see {t} there", "en", "a") for i, t in enumerate(tokens)]
+    scored = spark.createDataFrame([(t,) for t in tokens[:120]], "t string").select("t", secret_scan.battery(F.col("t"), F.lit("base64")).alias("p")).collect()
+    level = secret_scan.thresholds(documents(spark, rows))
+    assert set(level) == {"base64/2"}
+    for near in (0.45, 0.6):
+        copied = min(scored, key=lambda r: abs(r.p - near)).t
+        more = [(1000 + i, f"see {copied} there", "en", "a") for i in range(500)]
+        assert secret_scan.thresholds(documents(spark, rows + more)) == level
+
+
 def test_random_values_of_names_are_candidates(spark):
     """An unquoted NAME=value or ?sig=value is tested like a token of its own."""
     token, upper = random_tokens(1, 5)[0], "0123456789ABCDEF" * 2
