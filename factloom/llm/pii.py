@@ -1,16 +1,18 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions alone.
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Each distinct value found
-is a protected entity. The method asks how strongly the terms beside an entity's mentions reveal it: over all
-documents, with n(t, e) that have term t beside e, n(t) that have it anywhere, n(e) that have e, and N in all,
+is a protected entity. The method asks how strongly the terms of the documents that hold an entity reveal it: over all
+documents, with n(t, e) that have term t outside of mentions and e, n(t) that have t anywhere, n(e) that have e, and N in all,
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
-is pointwise mutual information as a share of the entity's information content; it is 1 where the term occurs
-nowhere but beside the entity. Terms from ``THRESHOLD`` on, seen beside it in ``SUPPORT`` different texts at least, are
-spans of kind ``term`` at those mentions, and are generalised with the entity.
+is pointwise mutual information as a share of the entity's information content; it is 1 where the term occurs only in
+documents with the entity. Terms from ``THRESHOLD`` on, seen with it in ``SUPPORT`` different texts at least, are spans of
+kind ``term`` wherever they occur in the documents that hold the entity, and are generalised with it. Documents without the
+entity keep them: once every document with both has lost both, none links the term to the entity.
 
-Only counts travel: terms beside entities are a small table, and the corpus' terms are counted by partial sums.
+Copies of a text are counted once and weighted. Entities below the support go before terms are paired with them, a hot
+entity is split over ``SALTS`` keys, and pairs and the corpus' terms are counted by partial sums before they are joined.
 
 Defined results: null text counts as empty and has no span; copies of one text are one text for the support and as many
 documents for the other counts; repeated rows keep a row each with equal results; an empty table gives an empty result. Spans count code points, end excluded;
@@ -22,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, guarded_spans, match_spans, spans_of_kind, spans_text
+from factloom.llm.common import checkpointed, guarded_spans, let, match_spans, spans_of_kind, spans_text
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
-THRESHOLD, SUPPORT, REACH = 0.9, 3, 64
+THRESHOLD, SUPPORT, SALTS = 0.9, 3, 16
 
 # The contract's patterns, made linear: a match starts where its first run starts (or where the last match ended), and
 # runs that nothing after them can take back are possessive. Their matches are the same.
@@ -67,86 +69,97 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, s, e>>: the whole terms within ``REACH`` characters of each mention, outside all mentions."""
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans; what stays keeps its place."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def around(span: Column) -> Column:
-        entity = F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"]))
-        begin = F.greatest(span["s"] - REACH, F.lit(0))
+    def step(state: Column, x: Column) -> Column:
+        kept = F.substring(text, state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], kept, blank).alias("out"))
 
-        def in_part(start: Column, part: Column) -> Column:
-            words = match_spans(part, TERM, 4, lambda *_: F.lit(True))
-            placed = F.transform(words, lambda w: F.struct(entity.alias("entity"), F.lower(F.substring(part, w["s"] + 1, w["e"] - w["s"])).alias("term"), (w["s"] + start).alias("s"), (w["e"] + start).alias("e")))
-            # A term that touches the part's outer edge may be cut there.
-            return F.filter(placed, lambda w: ((w["s"] > start) | (start == 0) | (start == span["e"])) & ((w["e"] < start + F.length(part)) | (w["e"] == span["s"]) | (w["e"] == F.length(text))))
+    return F.aggregate(F.array_sort(spans), begin, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
 
-        left = in_part(begin, F.substring(text, begin + 1, span["s"] - begin))
-        right = in_part(span["e"], F.substring(text, span["e"] + 1, F.lit(REACH)))
-        return F.concat(left, right)
 
-    found = F.flatten(F.transform(spans, around))
-    return F.filter(found, lambda w: ~F.exists(spans, lambda x: (w["s"] < x["e"]) & (x["s"] < w["e"])))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
 def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _salted(small: DataFrame) -> DataFrame:
+    """The rows once for each salt, so that a hot key of the other side is joined in ``SALTS`` parts."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans, beside), a row for each document, checkpointed."""
+    """(doc_id, text_key, spans, text, entities, terms, cut), a row for each document, checkpointed.
+
+    The last four are null without a base span. ``terms`` are outside of mentions; ``cut`` are those of them that a
+    mention cuts out of a longer term, so the whole text doesn't have them.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    beside = F.when(F.size("spans") > 0, _beside(F.col("text"), F.col("spans")))
-    return checkpointed(rows.select("doc_id", _text_key(F.col("text")).alias("text_key"), "spans", beside.alias("beside")))
+    entities = F.array_distinct(F.transform("spans", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))))
+    some = F.size("spans") > 0
+    rows = rows.withColumns({"text_key": _text_key(F.col("text")), "entities": F.when(some, entities), "terms": F.when(some, _terms(masked(F.col("text"), F.col("spans"))))})
+    cut = F.when(some, F.array_except("terms", _terms(F.col("text"))))
+    return checkpointed(rows.select("doc_id", "text_key", "spans", F.when(some, F.col("text")).alias("text"), "entities", "terms", cut.alias("cut")))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame | None:
-    """(entity, term, disclosure) from the threshold on; None where no term has the support.
-
-    The corpus' terms are counted before they meet the terms beside entities, so the join sees each term once.
-    """
-    with_terms = found.where("size(beside) > 0")
-    pair = F.transform("beside", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term")))
-    beside = with_terms.select("text_key", F.explode(F.array_distinct(pair)).alias("x")).select("text_key", "x.entity", "x.term")
-    together = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("text_key").alias("texts"))
-    together = checkpointed(together.where(F.col("texts") >= support))
-    if together.isEmpty():
+    """(text_key, strong) with the terms from the threshold on of some entity the text holds; None where no entity has the
+    support."""
+    texts = found.where("size(entities) > 0").groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    held = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    counted = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    frequent = checkpointed(counted.where(F.col("texts") >= support).select("entity", "n_entity"))
+    if frequent.isEmpty():
         return None
-    terms = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = with_terms.select(F.explode(F.array_distinct(F.transform("beside", lambda w: w["entity"]))).alias("entity"))
-    n_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    known = held.withColumn("salt", _salt("text_key")).join(_salted(frequent), ["entity", "salt"]).groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("known"))
+    holders = checkpointed(texts.join(known, "text_key").select("text_key", "copies", "terms", "known"))
+    pairs = holders.select("copies", "known", F.explode("terms").alias("term")).select("copies", "term", F.explode("known").alias("x")).select("copies", "term", "x.*")
+    together = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
+    together = checkpointed(together.where(F.col("texts") >= support))
+    whole = docs.where("text IS NOT NULL").select(F.explode(_terms(F.col("text"))).alias("term"))
+    n_term = whole.unionByName(found.select(F.explode("cut").alias("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = max(2, found.count())
-    scored = together.join(n_term, "term").join(n_entity, "entity")
     pmi = F.log(F.col("both") * float(total) / (F.col("n_term") * F.col("n_entity")))
     content = F.log(float(total) / F.col("n_entity"))
     disclosure = F.when(content > 0, pmi / F.greatest(content, F.lit(1e-12))).otherwise(F.lit(0.0))
-    return scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    strong = together.join(n_term, "term").where(disclosure >= threshold).select("entity", "term")
+    again = holders.select("text_key", "known", F.explode("terms").alias("term")).select("text_key", "term", F.explode("known.entity").alias("entity"))
+    hits = again.withColumn("salt", _salt("text_key")).join(_salted(strong), ["entity", "term", "salt"])
+    return hits.groupBy("text_key").agg(F.collect_set("term").alias("strong"))
 
 
-def _term_spans(found: DataFrame, strong: DataFrame | None) -> DataFrame | None:
-    """(doc_id, text_key, terms) of the documents with disclosing terms."""
-    if strong is None:
-        return None
-    placed = found.where("size(beside) > 0").select("doc_id", "text_key", F.explode("beside").alias("x")).select("doc_id", "text_key", "x.*")
-    hits = placed.join(strong, ["entity", "term"]).select("doc_id", "text_key", F.struct("s", F.lit(4).alias("k"), "e").alias("span"))
-    return hits.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("terms"))
+def _term_spans(text: Column, spans: Column, strong: Column) -> Column:
+    """The spans of the given terms, at every place outside of the other spans."""
+    return let(masked(text, spans), lambda t: match_spans(t, TERM, 4, lambda m, _: F.array_contains(strong, F.lower(m))))
 
 
-def _joined(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """Rows with ``doc_id``, ``text_key`` and ``spans``, the terms added to the spans."""
-    if terms is None:
+def _joined(rows: DataFrame, strong: DataFrame | None, text: str) -> DataFrame:
+    """Rows with ``doc_id``, ``text_key`` and ``spans``, the spans of the text's disclosing terms added."""
+    if strong is None:
         return rows
-    other = terms.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    joined = rows.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    nothing = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-    return joined.withColumn("spans", F.concat("spans", F.coalesce("terms", nothing))).drop("__id", "__key", "terms")
+    other = _salted(strong.withColumnRenamed("text_key", "__key")).withColumnRenamed("salt", "__part")
+    joined = rows.withColumn("__salt", _salt("doc_id", "text_key")).join(other, (F.col("text_key") == F.col("__key")) & (F.col("__salt") == F.col("__part")), "left")
+    with_terms = F.when(F.col("strong").isNotNull(), F.concat("spans", _term_spans(F.col(text), F.col("spans"), F.col("strong")))).otherwise(F.col("spans"))
+    return joined.withColumn("spans", with_terms).drop("__key", "__salt", "__part", "strong")
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(doc_id, spans) with spans array<struct<s, k, e>>: base spans and disclosing terms."""
     found = mentions(docs)
-    rows = _joined(found.select("doc_id", "text_key", "spans"), _term_spans(found, disclosures(docs, found, threshold, support)))
-    return rows.select("doc_id", "spans")
+    strong = disclosures(docs, found, threshold, support)
+    rows = _joined(found.where(F.size("spans") > 0).select("doc_id", "text_key", "spans", "text"), strong, "text")
+    return found.where(F.size("spans") == 0).select("doc_id", "spans").unionByName(rows.select("doc_id", "spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -167,11 +180,11 @@ def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPP
     Documents without a base span pass by as they are; only the others meet their terms by a join.
     """
     found = mentions(docs)
-    terms = _term_spans(found, disclosures(docs, found, threshold, support))
+    strong = disclosures(docs, found, threshold, support)
     packed = docs.select(F.struct("*").alias("row")).withColumn("spans", base_spans(F.col("row.text")))
     packed = packed.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "text_key": _text_key(F.col("row.text"))})
     clean = packed.where(F.size("spans") == 0).select("row.*")
-    dirty = _joined(packed.where(F.size("spans") > 0), terms).withColumn("new", replaced(F.col("row.text"), F.col("spans")))
+    dirty = _joined(packed.where(F.size("spans") > 0), strong, "row.text").withColumn("new", replaced(F.col("row.text"), F.col("spans")))
     columns = []
     for field in docs.schema.fields:
         value = F.col("row").getField(field.name)

@@ -139,6 +139,24 @@ def test_disclosing_terms(spark):
     assert all(not got[i] for i in text if i >= 100) and not any({"note", "from", "about"} & g for g in got.values())
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    """A name in the heading and the signature of the letters with one address goes at each place, however far away."""
+    rows = [(i, f"Zebulon {prose(i, 40)} zq@mail.example.com {prose(50 + i, 40)} zebulon", "en", "a") for i in (0, 1, 2, 2)]
+    rows += [(100 + i, f"note {prose(900 + i, 40)} p{i}@mail.example.com", "en", "a") for i in range(40)]
+    text = {i: t for i, t, *_ in rows}
+    got = pii.scan(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    terms = [(r.doc_id, [text[r.doc_id][s["s"] : s["e"]] for s in r.spans if s["k"] == 4]) for r in got]
+    assert all({"Zebulon", "zebulon"} <= set(t) for i, t in terms if i < 3) and not any(t for i, t in terms if i >= 100)
+    clean = pii.sanitised(documents(spark, rows)).where("doc_id < 3").collect()
+    assert len(clean) == 4 and not any("zebulon" in r.text.lower() for r in clean)
+
+
+def test_masked_texts_keep_places(spark):
+    spans = "array(named_struct('s', 2, 'k', 0, 'e', 4), named_struct('s', 3, 'k', 1, 'e', 5), named_struct('s', 0, 'k', 2, 'e', 1))"
+    assert spark.sql(f"SELECT '𝒳bcdefg' AS t, {spans} AS s").select(pii.masked(F.col("t"), F.col("s"))).first()[0] == " b   fg"
+
+
 def test_sanitised_documents(spark):
     rows = [(1, "mail a@b.co or +1 (555) 123-4567, ip 10.0.0.1", "en", "a"), (2, "nothing here", "en", "a"), (None, "x a@b.co", None, None), (3, None, "en", "a"), (4, "a@1.2.3.x 4111 1111 1111 1111", "en", "a")]
     docs = documents(spark, rows)
