@@ -153,13 +153,12 @@ def features(kind: int, payload: bytes) -> str:
 
 def _figures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [padded(bytes(raw)) for raw in raw_bytes(batch.column(1))]
-        blocks = np.cumsum([0, *(len(p) // UNIT for p in kept)])
-        adpcm = decode_adpcm(b"".join(kept)).reshape(-1, 2 * (UNIT - 4) + 1) if kept else None
+        stored = [store(padded(bytes(raw))) for raw in raw_bytes(batch.column(1))]
+        loaded = [load(media) for media in stored]
+        blocks = np.cumsum([0, *(len(back) // UNIT for _, _, back in loaded)])
+        adpcm = decode_adpcm(b"".join(back for _, _, back in loaded)).reshape(-1, 2 * (UNIT - 4) + 1) if loaded else None
         columns: list[list] = [[] for _ in range(8)]
-        for i, (raw, payload) in enumerate(zip(raw_bytes(batch.column(1)), kept)):
-            media = store(payload)
-            kind, rate, back = load(media)
+        for i, (raw, media, (kind, rate, back)) in enumerate(zip(raw_bytes(batch.column(1)), stored, loaded)):
             pcm = to_pcm(kind, back)
             sound = resample(pcm, rate)
             text = ";".join(

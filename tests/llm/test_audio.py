@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import audio
@@ -100,3 +101,12 @@ def test_media_columns(spark):
     assert payload.startswith(b"some bytes") and len(payload) == 64 and len(rows[1].pcm) == 2 * 128
     assert len(rows[2].pcm) == 256
     assert audio.media_columns(empty(spark)).count() == 0
+
+
+def test_features_come_from_the_bytes_read_back(monkeypatch):
+    """A store that changes bytes shows in every part of the feature."""
+    back, load = audio.padded(b"other bytes"), audio.load
+    monkeypatch.setattr(audio, "load", lambda media: (*load(media)[:2], back))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some bytes"])], names=["doc_id", "text"])
+    [got] = audio._figures_of(iter([batch]))
+    assert got.column("feature").to_pylist() == [audio.features(audio.MULAW, back)]
