@@ -14,9 +14,12 @@ entity keep them: once every document with both has lost both, none links the te
 Copies of a text are counted once and weighted. Entities below the support go before terms are paired with them, a hot
 entity is split over ``SALTS`` keys, and pairs and the corpus' terms are counted by partial sums before they are joined.
 
-Defined results: null text counts as empty and has no span; copies of one text are one text for the support and as many
-documents for the other counts; repeated rows keep a row each with equal results; an empty table gives an empty result. Spans count code points, end excluded;
-kinds may overlap, and replacement merges what overlaps under the label of the first.
+Defined results: null text counts as empty and has no span (``sanitised`` leaves it null); texts of any length are scanned
+whole; a null doc_id is kept; copies of one text are one text for the support and as many documents for the other counts;
+repeated rows keep a row each with equal results; a disclosure equal to the threshold counts; an empty table gives an empty
+result; columns besides doc_id and text are ignored, whatever their names, and ``sanitised`` passes them on (n_chars, where
+there is one, follows the new text). Spans count code points, end excluded; kinds may overlap, and replacement merges what
+overlaps under the label of the first.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpointed, guarded_spans, let, match_spans, spans_of_kind, spans_text
+from factloom.llm.common import checkpointed, contained, guarded_spans, let, match_spans, places, rewritten, spans_of_kind, spans_text
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
@@ -71,14 +74,7 @@ def base_spans(text: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with blanks in place of the spans; what stays keeps its place."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        kept = F.substring(text, state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], state["at"]), F.lit(0)))
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], kept, blank).alias("out"))
-
-    return F.aggregate(F.array_sort(spans), begin, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    return rewritten(text, spans, lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))
 
 
 def _terms(text: Column) -> Column:
@@ -105,8 +101,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     The last four are null without a base span. ``terms`` are outside of mentions; ``cut`` are those of them that a
     mention cuts out of a longer term, so the whole text doesn't have them.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    entities = F.array_distinct(F.transform("spans", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("valued", base_spans(F.col("text")))
+    rows = rows.withColumn("spans", places(F.col("valued")))
+    entities = F.array_distinct(F.transform("valued", lambda x: F.lower(x["v"])))
     some = F.size("spans") > 0
     rows = rows.withColumns({"text_key": _text_key(F.col("text")), "entities": F.when(some, entities), "terms": F.when(some, _terms(masked(F.col("text"), F.col("spans"))))})
     cut = F.when(some, F.array_except("terms", _terms(F.col("text"))))
@@ -141,7 +138,8 @@ def disclosures(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD,
 
 def _term_spans(text: Column, spans: Column, strong: Column) -> Column:
     """The spans of the given terms, at every place outside of the other spans."""
-    return let(masked(text, spans), lambda t: match_spans(t, TERM, 4, lambda m, _: F.array_contains(strong, F.lower(m))))
+    found = let(masked(text, spans), lambda t: match_spans(t, TERM, 4, lambda *_: F.lit(True)))
+    return places(contained(strong, lambda x: F.lower(x["v"]), found))
 
 
 def _joined(rows: DataFrame, strong: DataFrame | None, text: str) -> DataFrame:
@@ -165,13 +163,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT)
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each group of overlapping spans replaced by the label of its first."""
     labels = F.array(*[F.lit(x) for x in LABELS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        new = F.concat(state["out"], F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.element_at(labels, x["k"] + 1))
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(x["s"] >= state["at"], new).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(F.array_sort(spans), begin, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    return rewritten(text, spans, lambda x: F.element_at(labels, x["k"] + 1))
 
 
 def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -181,7 +173,7 @@ def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPP
     """
     found = mentions(docs)
     strong = disclosures(docs, found, threshold, support)
-    packed = docs.select(F.struct("*").alias("row")).withColumn("spans", base_spans(F.col("row.text")))
+    packed = docs.select(F.struct("*").alias("row")).withColumn("spans", places(base_spans(F.col("row.text"))))
     packed = packed.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "text_key": _text_key(F.col("row.text"))})
     clean = packed.where(F.size("spans") == 0).select("row.*")
     dirty = _joined(packed.where(F.size("spans") > 0), strong, "row.text").withColumn("new", replaced(F.col("row.text"), F.col("spans")))

@@ -1,22 +1,26 @@
 """Secret scans, with DataFrame functions alone.
 
 Base spans are assignments to password-like names, access keys and long lower-case hexadecimal runs. The
-method adds ``random`` spans: runs of at least ``MIN_LENGTH`` encoding characters that look uniformly random.
+method adds ``random`` spans: runs of at least 20 encoding characters that look uniformly random.
 For each candidate an encoding is inferred (hexadecimal, base32 or base64, by its characters and by the
 character kinds it must mix), its characters become numbers 0..k-1, and a battery of three tests is made:
 
-* chi-squared uniformity over four equal parts of the alphabet (3 degrees of freedom),
+* chi-squared uniformity of the alphabet, in as many equal bins as the length supports: the most of 64, 32, 16 or 8, up to
+  the alphabet's size, that leaves ``EXPECTED`` characters a bin, else four (one degree of freedom less than bins),
 * runs above and below the middle of the alphabet (Wald-Wolfowitz, normal score),
 * serial correlation of neighbours (normal score).
 
 Fisher's method combines the three p-values (6 degrees of freedom, a closed form). Random strings have uniform
 combined p-values and ordinary words small ones. For every class of encoding and length, a histogram of the whole
 corpus' distinct tokens (copies of one are one draw) estimates how many of the candidates above a level are random:
-twice the number above one half, as far as they are uniform, times one less the level. The lowest level at which the others make up at most ``FALSE_RATE``
-of what is accepted is the class's threshold; a class in which no level reaches that accepts nothing.
-
-Defined results: null text counts as empty and has no span; rows pass one by one, repeated rows included; an
-empty table gives an empty result. Spans count code points, the end excluded; all kinds may overlap.
+twice the number above one half, as far as they are uniform, times one less the level. The lowest level at which the others
+make up at most ``FALSE_RATE`` of what is accepted is the class's threshold; a class in which no level reaches that accepts
+nothing. Candidates and their p-values are computed once for each row and kept in a checkpoint.
+
+Defined results: null text counts as empty and has no span; texts of any length are scanned whole, in time that grows with
+length times the square root of the number of matches; a null doc_id is kept; rows pass one by one, repeated rows included,
+and equal texts get equal spans; an empty table gives an empty result; columns besides doc_id and text are ignored, whatever
+their names. Spans count code points, the end excluded; all kinds may overlap.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import guarded_spans, let, spans_of_kind, spans_text
+from factloom.llm.common import checkpointed, guarded_spans, let, places, spans_of_kind, spans_text
 
 KINDS = ["assign", "access", "hex", "random"]
 #: Fixed values of the contract.
@@ -32,7 +36,9 @@ NAMES = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = NAMES + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-MIN_LENGTH, FALSE_RATE, LEVELS = 20, 0.05, 50
+FALSE_RATE, LEVELS = 0.05, 50
+#: Characters a bin of the chi-squared test must expect.
+EXPECTED = 5
 #: A candidate starts where its run of characters starts, so a long run is scanned once; an equals sign is no part of the
 #: run, so the value of NAME=value is one.
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{20,}+={0,2}+"
@@ -41,6 +47,7 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 
 
 def base_spans(text: Column) -> Column:
+    """array<struct<s, k, e, v>> of the base kinds, ``v`` being the matched text."""
     text = F.coalesce(text, F.lit(""))
     assign = guarded_spans(text, ASSIGN, ASSIGN, 0, lambda _, value: F.length(value) >= 6, group=1)
     access = guarded_spans(text, ACCESS, ACCESS, 1, lambda *_: F.lit(True))
@@ -80,9 +87,31 @@ def normal_tail(z: Column) -> Column:
     return F.greatest(poly * F.exp(-x * x), F.lit(1e-300))
 
 
-def chi3_tail(root: Column) -> Column:
-    """P(chi-squared with 3 degrees of freedom > root squared)."""
-    return F.greatest(normal_tail(root) + 0.7978845608028654 * root * F.exp(-root * root / 2), F.lit(1e-300))
+def chi_tail(root: Column, bins: Column) -> Column:
+    """P(chi-squared with ``bins`` - 1 degrees of freedom > root squared), for an even number of bins.
+
+    Odd degrees of freedom have a closed form: twice the normal tail plus the density times a sum of (bins - 2) / 2 terms,
+    each the one before times root squared over the next odd number. Beyond 37 the tail is below the floor.
+    """
+
+    def summed(x: Column) -> Column:
+        def step(state: Column, r: Column) -> Column:
+            term = F.when(r == 1, x).otherwise(state["term"] * x * x / (2 * r - 1))
+            return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+        start = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"))
+        series = F.aggregate(F.sequence(F.lit(1), F.floor(bins / 2).cast("int") - 1), start, step, lambda state: state["sum"])
+        return F.greatest(normal_tail(x) + 0.7978845608028654 * series * F.exp(-x * x / 2), F.lit(1e-300))
+
+    return F.when(root > 37, F.lit(1e-300)).otherwise(let(F.least(root, F.lit(37.0)), summed))
+
+
+def bins_of(n: Column, size: Column) -> Column:
+    """Bins of the chi-squared test for a token of n characters of an alphabet of the given size."""
+    most = F.lit(4)
+    for bins in (8, 16, 32, 64):
+        most = F.when((size >= bins) & (n >= bins * EXPECTED), F.lit(bins)).otherwise(most)
+    return most
 
 
 def battery(token: Column, kind: Column) -> Column:
@@ -91,34 +120,43 @@ def battery(token: Column, kind: Column) -> Column:
 
     def counted(x: Column) -> Column:
         v, k = x["v"], x["k"]
-        parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.size(F.filter(v, lambda c: F.floor(c * 4 / k) == q)).cast("double"))
         high = F.size(F.filter(v, lambda c: c * 2 >= k)).cast("double")
         pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), ((a * 2 >= k) != (b * 2 >= k)).alias("turn")))
         mean = F.aggregate(v, F.lit(0.0), lambda a, c: a + c) / F.size(v)
-        return F.struct(v.alias("v"), F.size(v).cast("double").alias("n"), parts.alias("parts"), high.alias("high"), pairs.alias("pairs"), mean.alias("mean"))
+        return F.struct(v.alias("v"), k.alias("k"), bins_of(F.size(v), k).alias("bins"), F.size(v).cast("double").alias("n"), high.alias("high"), pairs.alias("pairs"), mean.alias("mean"))
+
+    def binned(x: Column) -> Column:
+        # The sum of the squared counts: in sorted order the r-th value of a bin adds 2r - 1 to it.
+        def step(state: Column, c: Column) -> Column:
+            run = F.when(c == state["bin"], state["run"] + 1).otherwise(F.lit(1))
+            return F.struct(c.alias("bin"), run.alias("run"), (state["squares"] + 2.0 * run - 1).alias("squares"))
+
+        values = F.sort_array(F.transform(x["v"], lambda c: F.floor(c * x["bins"] / x["k"]).cast("int")))
+        start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("run"), F.lit(0.0).alias("squares"))
+        squares = F.aggregate(values, start, step, lambda state: state["squares"])
+        return F.struct(*[x[name].alias(name) for name in ("v", "n", "bins", "high", "pairs", "mean")], F.greatest(squares * x["bins"] / x["n"] - x["n"], F.lit(0.0)).alias("chi"))
 
     def summed(x: Column) -> Column:
-        chi = F.aggregate(x["parts"], F.lit(0.0), lambda a, c: a + (c - x["n"] / 4) * (c - x["n"] / 4) / (x["n"] / 4))
         runs = 1 + F.size(F.filter(x["pairs"], lambda p: p["turn"])).cast("double")
         expected = 1 + 2 * x["high"] * (x["n"] - x["high"]) / x["n"]
         square = F.aggregate(x["v"], F.lit(0.0), lambda a, c: a + (c - x["mean"]) * (c - x["mean"]))
         product = F.aggregate(x["pairs"], F.lit(0.0), lambda a, p: a + (p["a"] - x["mean"]) * (p["b"] - x["mean"]))
-        return F.struct(x["n"].alias("n"), chi.alias("chi"), runs.alias("runs"), expected.alias("expected"), square.alias("square"), product.alias("product"))
+        return F.struct(x["n"].alias("n"), x["bins"].alias("bins"), x["chi"].alias("chi"), runs.alias("runs"), expected.alias("expected"), square.alias("square"), product.alias("product"))
 
     def scored(x: Column) -> Column:
         spread = (x["expected"] - 1) * (x["expected"] - 2) / (x["n"] - 1)
         runs_z = F.when(spread > 0, (x["runs"] - x["expected"]) / F.sqrt(spread)).otherwise(F.lit(30.0))
         serial_z = F.when(x["square"] > 0, (x["product"] / x["square"] + 1 / x["n"]) * F.sqrt(x["n"])).otherwise(F.lit(30.0))
-        return F.struct(F.sqrt(x["chi"]).alias("chi"), F.abs(runs_z).alias("runs"), F.abs(serial_z).alias("serial"))
+        return F.struct(F.sqrt(x["chi"]).alias("chi"), x["bins"].alias("bins"), F.abs(runs_z).alias("runs"), F.abs(serial_z).alias("serial"))
 
     def tails(z: Column) -> Column:
-        return -(F.log(chi3_tail(z["chi"])) + F.log(normal_tail(z["runs"])) + F.log(normal_tail(z["serial"])))
+        return -(F.log(chi_tail(z["chi"], z["bins"])) + F.log(normal_tail(z["runs"])) + F.log(normal_tail(z["serial"])))
 
     def fisher(half: Column) -> Column:
         return F.exp(-half) * (1 + half + half * half / 2)
 
     start = F.struct(_values(token, kind).alias("v"), size.alias("k"))
-    return let(let(let(let(let(start, counted), summed), scored), tails), fisher)
+    return let(let(let(let(let(let(start, counted), binned), summed), scored), tails), fisher)
 
 
 def length_class(n: Column) -> Column:
@@ -131,8 +169,7 @@ def candidates(text: Column) -> Column:
     spans = guarded_spans(text, r"[A-Za-z0-9+/_-]{20}", CANDIDATE, 3, lambda m, _: encoding_of(m).isNotNull())
 
     def named(x: Column) -> Column:
-        token = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-        return let(token, lambda t: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), t.alias("token"), encoding_of(t).alias("kind")))
+        return F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("token"), encoding_of(x["v"]).alias("kind"))
 
     def tested(x: Column) -> Column:
         group = F.concat_ws("/", x["kind"], length_class(x["e"] - x["s"]).cast("string"))
@@ -141,12 +178,17 @@ def candidates(text: Column) -> Column:
     return F.transform(F.transform(spans, named), tested)
 
 
-def thresholds(docs: DataFrame, false_rate: float = FALSE_RATE) -> dict[str, float]:
-    """The least accepted combined p-value of each class of encoding and length, from the distinct tokens of the whole corpus.
+def scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, tokens): base spans and scored candidates of every row, checkpointed; the texts are read once."""
+    return checkpointed(docs.select(F.col("doc_id").cast("long"), places(base_spans(F.col("text"))).alias("base"), candidates(F.col("text")).alias("tokens")))
+
+
+def thresholds(rows: DataFrame, false_rate: float = FALSE_RATE) -> dict[str, float]:
+    """The least accepted combined p-value of each class of encoding and length, from the distinct tokens of all ``scanned`` rows.
 
     A token has one p-value and so one level. The driver gets ``LEVELS`` counts for each of at most fifteen classes.
     """
-    found = docs.where(F.col("text").rlike(r"[A-Za-z0-9+/_-]{20}")).select(F.explode(candidates(F.col("text"))).alias("x"))
+    found = rows.select(F.explode("tokens").alias("x"))
     level = F.least(F.floor(F.col("x.p") * LEVELS), F.lit(LEVELS - 1)).cast("int")
     distinct = found.select(F.col("x.group").alias("group"), level.alias("level"), F.col("x.key").alias("key")).distinct()
     counted = distinct.groupBy("group", "level").count().collect()
@@ -166,14 +208,13 @@ def thresholds(docs: DataFrame, false_rate: float = FALSE_RATE) -> dict[str, flo
 
 def scan(docs: DataFrame, false_rate: float = FALSE_RATE) -> DataFrame:
     """(doc_id, spans) with spans array<struct<s, k, e>>: base spans and the method's."""
-    levels = thresholds(docs, false_rate)
-    base = base_spans(F.col("text"))
+    rows = scanned(docs)
+    levels = thresholds(rows, false_rate)
     if not levels:
-        return docs.select(F.col("doc_id").cast("long"), base.alias("spans"))
+        return rows.select("doc_id", F.col("base").alias("spans"))
     least = F.create_map(*[F.lit(x) for pair in sorted(levels.items()) for x in pair])
-    good = F.filter(candidates(F.col("text")), lambda x: x["p"] >= F.coalesce(F.element_at(least, x["group"]), F.lit(2.0)))
-    added = F.transform(good, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return docs.select(F.col("doc_id").cast("long"), F.concat(base, added).alias("spans"))
+    good = F.filter("tokens", lambda x: x["p"] >= F.coalesce(F.element_at(least, x["group"]), F.lit(2.0)))
+    return rows.select("doc_id", F.concat("base", places(good)).alias("spans"))
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:

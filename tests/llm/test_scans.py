@@ -2,14 +2,18 @@
 
 import base64
 import hashlib
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from factloom.llm import pii, secret_scan
-from factloom.llm.common import spans_text
+from factloom.llm.common import running, spans_text
 from tests.llm.helpers import documents, empty, prose
 
 digits = lambda m: re.sub("[^0-9]", "", m.group())
@@ -91,10 +95,110 @@ def test_battery_is_uniform_on_random_strings(spark):
     assert np.abs(p - (np.arange(3000) + 0.5) / 3000).max() < 0.08
 
 
+def chi_tail(chi, df):
+    """1 - P(df / 2, chi / 2) by the series of the incomplete gamma function."""
+    a, x = df / 2, chi / 2
+    term = total = math.exp(a * math.log(x) - x - math.lgamma(a + 1)) if x > 0 else 0.0
+    k = 1
+    while term > 1e-18 * max(total, 1e-300):
+        term *= x / (a + k)
+        total += term
+        k += 1
+    return max(1 - total, 0.0)
+
+
 def test_tails(spark):
-    x = spark.createDataFrame([(z,) for z in (0.0, 0.5, 1.0, 1.96, 3.0)], "z double").select(secret_scan.normal_tail(F.col("z")).alias("n"), secret_scan.chi3_tail(F.col("z")).alias("c")).collect()
+    x = spark.createDataFrame([(z,) for z in (0.0, 0.5, 1.0, 1.96, 3.0)], "z double").select(secret_scan.normal_tail(F.col("z")).alias("n"), secret_scan.chi_tail(F.col("z"), F.lit(4)).alias("c")).collect()
     assert np.allclose([r.n for r in x], [1, 0.617075, 0.317311, 0.049996, 0.0026998], atol=1e-5)
     assert np.allclose([r.c for r in x], [1, 0.969141, 0.801252, 0.279084, 0.0292909], atol=1e-4)
+    rows = [(z, bins) for z in (0.1, 1.0, 2.5, 5.0, 8.0, 12.0) for bins in (4, 8, 16, 32, 64)]
+    for r in spark.createDataFrame(rows, "z double, bins int").select("*", secret_scan.chi_tail(F.col("z"), F.col("bins")).alias("c")).collect():
+        assert r.c == pytest.approx(chi_tail(r.z**2, r.bins - 1), abs=1e-6)
+    far = spark.createDataFrame([(1e9, 64), (38.0, 64)], "z double, bins int").select(secret_scan.chi_tail(F.col("z"), F.col("bins"))).collect()
+    assert all(0 < r[0] < 1e-99 for r in far)
+
+
+ALPHABET = {
+    "hex": {c: i for i, c in enumerate("0123456789abcdef")},
+    "base32": {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")},
+    "base64": {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63},
+}
+
+
+def plain_kind(token):
+    bare = token.rstrip("=")
+    has = lambda chars: any(c in chars for c in bare)
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    if bare == token and has(digits) and (set(bare) <= set("0123456789abcdef") or set(bare) <= set("0123456789ABCDEF")) and has("abcdefABCDEF"):
+        return "hex"
+    if set(bare) <= set(ALPHABET["base32"]) and has("234567") and has(up):
+        return "base32"
+    return "base64" if has(digits) and has(low) and has(up) else None
+
+
+def plain_battery(token, kind):
+    bare = token.lower() if kind == "hex" else token.rstrip("=")
+    v, k = np.array([ALPHABET[kind][c] for c in bare]), len(set(ALPHABET[kind].values()))
+    n = len(v)
+    bins = max([b for b in (8, 16, 32, 64) if b <= k and n >= 5 * b], default=4)
+    counts = np.bincount(v * bins // k, minlength=bins)
+    chi = float(((counts - n / bins) ** 2 / (n / bins)).sum())
+    high = v >= k / 2
+    h, runs = int(high.sum()), 1 + int((high[1:] != high[:-1]).sum())
+    expected = 1 + 2 * h * (n - h) / n
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    d = v - v.mean()
+    zs = [abs(runs - expected) / math.sqrt(spread) if spread > 0 else 30, abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() > 0 else 30]
+    ps = [chi_tail(chi, bins - 1)] + [math.erfc(z / math.sqrt(2)) for z in zs]
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def plain_random_spans(texts):
+    """(levels, spans of each text): every candidate's p-value, the classes' thresholds and what passes them."""
+    found, tokens = defaultdict(list), {}
+    for i, text in enumerate(texts):
+        for m in re.finditer(r"([A-Za-z0-9+/_-]+)={0,2}", text or ""):
+            kind = plain_kind(m.group()) if len(m.group(1)) >= 20 else None
+            if kind:
+                size = len(m.group())
+                group = f"{kind}/{sum(size >= x for x in (24, 32, 48, 96))}"
+                bare = m.group().lower() if kind == "hex" else m.group().rstrip("=").replace("-", "+").replace("_", "/")
+                tokens[group, bare] = plain_battery(m.group(), kind)
+                found[i].append((m.start(), m.end(), group, bare))
+    levels = {}
+    for group in {g for g, _ in tokens}:
+        p = [min(49, int(x * 50)) for (g, _), x in tokens.items() if g == group]
+        for at in range(50):
+            accepted, random = sum(x >= at for x in p), 2 * sum(x >= 25 for x in p) * (1 - at / 50)
+            if accepted and accepted - min(accepted, random) <= 0.05 * accepted:
+                levels[group] = at / 50
+                break
+    return levels, {i: [(s, e) for s, e, g, t in x if g in levels and tokens[g, t] >= levels[g]] for i, x in found.items()}
+
+
+def test_random_spans_by_a_plain_reading(spark, sf_dir):
+    """Bins, p-values, levels and spans recomputed without Spark, on made tokens of all encodings and on a whole table."""
+    r = np.random.default_rng(11)
+    made = []
+    for n in (12, 15, 24, 40, 90, 300):
+        made += [r.bytes(n).hex() for _ in range(30)] + [r.bytes(n).hex().upper() for _ in range(5)]
+        made += [base64.b32encode(r.bytes(n)).decode() for _ in range(30)] + [base64.urlsafe_b64encode(r.bytes(n)).decode() for _ in range(60)]
+    made += [f"Camel{i}CaseNamesOfThings{'AndMore' * (i % 9)}" for i in range(60)] + ["a1B" * 40, "0a" * 30, "A2" * 700]
+    texts = [f"k={t} é {t[::-1]}" for t in made]
+    tables = [texts, [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]]
+    for texts in tables:
+        docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+        rows = secret_scan.scanned(docs)
+        for row in rows.collect():
+            for t in row.tokens:
+                token = texts[row.doc_id][t["s"] : t["e"]]
+                assert t["p"] == pytest.approx(plain_battery(token, plain_kind(token)), abs=2e-5), token
+        levels, spans = plain_random_spans(texts)
+        assert secret_scan.thresholds(rows) == levels
+        got = {x.doc_id: [(s["s"], s["e"]) for s in x.spans if s["k"] == 3] for x in secret_scan.scan(docs).collect()}
+        assert {i: x for i, x in got.items() if x} == {i: x for i, x in spans.items() if x}
+        assert texts is not tables[0] or (len(levels) > 3 and any(spans.values()))
 
 
 def test_random_tokens_are_found_and_words_are_not(spark):
@@ -111,12 +215,12 @@ def test_copies_of_a_token_are_one_token(spark):
     tokens = random_tokens(120, 2) + [f"Internationalization{chr(65 + i)}9Handlers" for i in range(26)]
     rows = [(i, f"see {t} there", "en", "a") for i, t in enumerate(tokens)]
     scored = spark.createDataFrame([(t,) for t in tokens[:120]], "t string").select("t", secret_scan.battery(F.col("t"), F.lit("base64")).alias("p")).collect()
-    level = secret_scan.thresholds(documents(spark, rows))
+    level = secret_scan.thresholds(secret_scan.scanned(documents(spark, rows)))
     assert set(level) == {"base64/2"}
     for near in (0.45, 0.6):
         copied = min(scored, key=lambda r: abs(r.p - near)).t
         more = [(1000 + i, f"see {copied} there", "en", "a") for i in range(500)]
-        assert secret_scan.thresholds(documents(spark, rows + more)) == level
+        assert secret_scan.thresholds(secret_scan.scanned(documents(spark, rows + more))) == level
 
 
 def test_random_values_of_names_are_candidates(spark):
@@ -152,6 +256,98 @@ def test_disclosing_terms_far_from_the_mention(spark):
     assert len(clean) == 4 and not any("zebulon" in r.text.lower() for r in clean)
 
 
+def plain_disclosing_spans(texts, threshold=pii.THRESHOLD, support=pii.SUPPORT):
+    """The term spans of each text, from co-occurrence counts over all texts taken straight from the definition."""
+    word = regex.compile(r"\p{L}[\p{L}\p{N}]{2,}")
+    rows = []
+    for text in texts:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in filter(None, plain(PII, text).split(","))]
+        blank = list(text)
+        for s, e in spans:
+            blank[s:e] = " " * (e - s)
+        blank = "".join(blank)
+        inside = {m.group().lower() for m in word.finditer(blank)} if spans else set()
+        rows.append(({text[s:e].lower() for s, e in spans}, inside, {m.group().lower() for m in word.finditer(text)} | inside, blank))
+    n_term, n_entity, both, seen = Counter(), Counter(), Counter(), defaultdict(set)
+    for text, (entities, inside, whole, _) in zip(texts, rows):
+        n_term.update(whole)
+        n_entity.update(entities)
+        for e in entities:
+            for t in inside:
+                both[t, e] += 1
+                seen[t, e].add(text)
+    strong = defaultdict(set)
+    for (t, e), n in both.items():
+        content = math.log(len(texts) / n_entity[e])
+        if len(seen[t, e]) >= support and content > 0 and math.log(n * len(texts) / (n_term[t] * n_entity[e])) / content >= threshold:
+            strong[e].add(t)
+    return [[(m.start(), m.end()) for m in word.finditer(blank) if any(m.group().lower() in strong[e] for e in entities)] if entities else [] for entities, _, _, blank in rows]
+
+
+def test_disclosing_terms_by_a_plain_reading(spark):
+    r = np.random.default_rng(3)
+    people = [f"p{i}@mail{i % 3}.example.com" for i in range(12)] + ["+1 555 123 4567", "10.0.0.7"]
+    names = [f"name{chr(97 + i)}{'x' * (i % 4)}" for i in range(14)]
+    texts = []
+    for i in range(400):
+        k = int(r.integers(0, 40))
+        parts = [f"w{x}ord" for x in r.integers(0, 60, int(r.integers(3, 30)))]
+        if k < 14:
+            parts += [people[k], names[k] if r.random() < 0.9 else "nobody", f"Mail{k % 3}", people[(k + 1) % 14] if r.random() < 0.2 else "alone"]
+        if r.random() < 0.05:
+            parts.append(names[int(r.integers(0, 14))])
+        r.shuffle(parts)
+        texts += [" ".join(parts)] * (1 + (i % 10 == 0))
+    got = {x.doc_id: [(s["s"], s["e"]) for s in x.spans if s["k"] == 4] for x in pii.scan(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    wanted = plain_disclosing_spans(texts)
+    assert sum(map(len, wanted)) > 50
+    assert [got[i] for i in range(len(texts))] == wanted
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Span arithmetic over 50 000 matches of one text takes seconds."""
+    n = 50_000
+    texts = [f"é note {i} from zebulon via zq@mail.example.com " + prose(i, 30) for i in range(4)]
+    texts[0] += " " + " ".join(f"zebulon writes user{i}@mail.example.com" for i in range(n))
+    others = [f"note from someone via q{i}@mail.example.com {prose(70 + i, 30)}" for i in range(60)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts + others)])
+    started = time.monotonic()
+    got = {r.doc_id: r.spans for r in pii.scan(docs).where("doc_id < 4").collect()}
+    assert len([s for s in got[0] if s["k"] == 0]) == n + 1 and len([s for s in got[0] if s["k"] == 4 and texts[0][s["s"] : s["e"]] == "zebulon"]) == n + 1
+    clean = pii.sanitised(docs).where("doc_id = 0").first().text
+    assert "@" not in clean and clean.count("[EMAIL]") == n + 1 and clean.count("[TERM] writes [EMAIL]") == n
+    keys = " ".join(f"token=abcdef{i} {hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(n))
+    found = secret_scan.scan(documents(spark, [(1, keys, "en", "a")])).first().spans
+    assert [sum(s["k"] == k for s in found) for k in (0, 2)] == [n, n]
+    assert time.monotonic() - started < 120
+
+
+def test_running_folds(spark):
+    rows = [(list(map(int, np.random.default_rng(n).integers(-50, 50, n))),) for n in (0, 1, 2, 3, 5, 17, 100, 1001)]
+    got = spark.createDataFrame(rows, "v array<int>").select("v", running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("v"), F.lit(-99), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in got:
+        assert r.s == np.cumsum(r.v).tolist() and r.m == (np.maximum.accumulate(r.v).tolist() if r.v else [])
+
+
+def test_rewriting_merges_overlaps(spark):
+    rng, rows = np.random.default_rng(8), []
+    for n in (0, 1, 2, 40, 700):
+        text = "".join(map(chr, rng.choice([97, 98, 233, 0x1D4B3, 32], 3000)))
+        starts = sorted(rng.integers(0, 2900, n).tolist())
+        rows.append((text, [(s, int(k), s + int(size)) for s, k, size in zip(starts, rng.integers(0, 5, n), rng.integers(1, 60 if n < 100 else 4, n))]))
+    got = spark.createDataFrame(rows, "t string, spans array<struct<s:int,k:int,e:int>>").select("t", "spans", pii.replaced(F.col("t"), F.col("spans")).alias("new"), pii.masked(F.col("t"), F.col("spans")).alias("blank")).collect()
+    for r in got:
+        out, at, blank = "", 0, list(r.t)
+        for s, k, e in sorted(map(tuple, r.spans)):
+            blank[s:e] = " " * (e - s)
+            if s >= at:
+                out += r.t[at:s] + pii.LABELS[k]
+            at = max(at, e)
+        # What follows a group begins at the group's end, wherever its spans end.
+        out += r.t[at:]
+        assert r.new == out and r.blank == "".join(blank)
+
+
 def test_masked_texts_keep_places(spark):
     spans = "array(named_struct('s', 2, 'k', 0, 'e', 4), named_struct('s', 3, 'k', 1, 'e', 5), named_struct('s', 0, 'k', 2, 'e', 1))"
     assert spark.sql(f"SELECT '𝒳bcdefg' AS t, {spans} AS s").select(pii.masked(F.col("t"), F.col("s"))).first()[0] == " b   fg"
