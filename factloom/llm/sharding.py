@@ -4,10 +4,14 @@ A row's hash is 60 bits of the MD5 of its id. The directory is indexed by prefix
 holds the rows of one d-bit prefix, and only a bucket above the byte limit splits on another bit. Byte sums
 are taken once for prefixes of a fine depth (partial aggregation) and rolled up, so all splits of that many
 bits are decided in one pass over a table of prefixes; cells that are still too large go on to deeper bits.
-Rows that no bit tells apart (one id, repeated) fill overflow pages of the byte limit by running sums.
-
-Defined results: a null text has 0 bytes; a null id hashes as the empty text; a row larger than the limit is
-a shard of its own; an empty table gives an empty result. Rows keep their place whatever the order of reading.
+Rows that no bit tells apart (one id, repeated) fill overflow pages of the byte limit by running sums over a hash of each
+row's id and text. Rows that agree in both are interchangeable: as many of them lie on each page whatever the order of
+reading, and they are numbered in parts, so an id and text that make up a third of all rows are no single task.
+
+Defined results: a null text has 0 bytes; a null id hashes as the empty text; a row larger than the limit is a shard of its
+own, as are texts of any length; repeated rows keep a row each; ties on a page's edge go by the row's hash; an empty table
+gives an empty result; columns besides doc_id and text are ignored, whatever their names. The rows' shards and pages are the
+same whatever the order of reading.
 """
 
 from __future__ import annotations
@@ -21,8 +25,12 @@ from pyspark.sql.window import Window
 from factloom.llm.common import checkpointed
 
 SHARD_BYTES, HASH_BITS = 64 << 20, 60
+#: Byte limit of the registered query: small, so that buckets split at every size of its table.
+QUERY_BYTES = 64 << 10
 #: Bits decided in one pass beyond what evenly filled shards would need.
 SPARE_BITS = 4
+#: Parts in which rows of one hash are summed and numbered.
+PARTS = 4096
 
 
 def hash_of(doc_id: Column) -> Column:
@@ -48,7 +56,8 @@ def _settle(rows: DataFrame, shallow: int, deep: int, limit: int) -> tuple[DataF
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, depth, bucket, page, shard_bytes), a row for each input row."""
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_of(F.col("doc_id")).alias("h"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id"), size.alias("n_bytes"), hash_of(F.col("doc_id")).alias("h"), F.xxhash64("doc_id", "text").alias("r"))
     rows = checkpointed(rows)
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     step = max(1, math.ceil(math.log2(max(2.0, total / limit))) + SPARE_BITS)
@@ -68,18 +77,27 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of one hash that exceed the limit together: pages by running sums of two levels, so that a hot id
-    is summed in salted parts first and no part is larger than the rows of one salt."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("n_bytes", F.monotonically_increasing_id()), F.lit(4096)))
-    salted = checkpointed(salted)
-    parts = salted.groupBy("h", "salt").agg(F.sum(F.greatest("n_bytes", F.lit(1))).alias("part"))
-    before = F.sum("part").over(Window.partitionBy("h").orderBy("salt")) - F.col("part")
-    parts = parts.select("h", "salt", before.alias("before"))
-    own = F.sum(F.greatest("n_bytes", F.lit(1))).over(Window.partitionBy("h", "salt").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1))
-    placed = salted.withColumn("own", F.coalesce(own, F.lit(0))).join(parts, ["h", "salt"])
+    """Rows of one hash that exceed the limit together: pages by running sums.
+
+    Groups of equal rows are ordered by a hash of their content, and their sums are taken in salted parts first; the rows of
+    a group are numbered in parts too. No window is larger than the number of parts or the rows of one part.
+    """
+    content, size = ["h", "r", "n_bytes"], F.greatest("n_bytes", F.lit(1))
+    dealt = checkpointed(rows.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS))))
+    counts = checkpointed(dealt.groupBy(*content, "deal").agg(F.count(F.lit(1)).alias("n")))
+    groups = counts.groupBy(*content).agg(F.sum(F.col("n") * size).alias("bytes")).withColumn("salt", F.pmod("r", F.lit(PARTS)))
+    groups = checkpointed(groups)
+    parts = groups.groupBy("h", "salt").agg(F.sum("bytes").alias("part"))
+    parts = parts.select("h", "salt", (F.sum("part").over(Window.partitionBy("h").orderBy("salt")) - F.col("part")).alias("before"))
+    own = F.sum("bytes").over(Window.partitionBy("h", "salt").orderBy("r", "n_bytes")) - F.col("bytes")
+    starts = groups.withColumn("own", own).join(parts, ["h", "salt"]).select(*content, (F.col("own") + F.col("before")).alias("start"))
+    first = F.sum("n").over(Window.partitionBy(*content).orderBy("deal")) - F.col("n")
+    starts = counts.withColumn("first", first).join(starts, content).select(*content, "deal", (F.col("start") + F.col("first") * size).alias("start"))
+    number = F.row_number().over(Window.partitionBy(*content, "deal").orderBy("doc_id")) - 1
+    placed = dealt.withColumn("number", number).join(starts, [*content, "deal"])
     # Every second page takes the rows that begin in one half-limit and end in the next, so no page passes the limit
     # unless a single row does.
-    begin = F.col("own") + F.col("before")
+    begin = F.col("start") + F.col("number") * size
     half = max(1, limit // 2)
     big = F.col("n_bytes") > half
     page = F.when(big, begin * 2 + 2).otherwise(F.floor(begin / half) * 2 * half + 1)
@@ -89,7 +107,7 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
-    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_BYTES)
 
 
 ORACLE = f"""
@@ -99,6 +117,6 @@ WITH sized AS (
 at_depth AS (SELECT *, h >> CAST({HASH_BITS} - depth AS BIGINT) AS bucket FROM sized, range(0, 25) t(depth)),
 sums AS (SELECT depth, bucket, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM at_depth GROUP BY depth, bucket),
 fit AS (SELECT a.doc_id, a.n_bytes, a.depth, a.bucket, s.shard_bytes, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.depth) AS place
-        FROM at_depth a JOIN sums s ON a.depth = s.depth AND a.bucket = s.bucket WHERE s.shard_bytes <= {SHARD_BYTES})
+        FROM at_depth a JOIN sums s ON a.depth = s.depth AND a.bucket = s.bucket WHERE s.shard_bytes <= {QUERY_BYTES})
 SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, bucket, CAST(0 AS BIGINT) AS page, shard_bytes FROM fit WHERE place = 1
 """

@@ -10,10 +10,15 @@ collapsed), a bucket yields a spanning star for each of its linked parts and nev
 above ``BUCKET`` fingerprints is dealt again: its 32 free bits are cut into eight blocks of four and the
 pairs meet in one of 56 masks that fix five of them, so what is left has at most 2**12 members.
 
+The sizes of buckets are counted by partial sums and joined back, so a bucket that holds a third of all fingerprints is
+split like any skewed join before it is dealt again.
+
 Defined results: null text counts as empty; no word gives fingerprint zero, which links like any
-other; fewer words than a shingle give one shingle of them all; repeated rows keep a row each; a null
+other; fewer words than a shingle give one shingle of them all; texts of any length are hashed whole; repeated rows keep a
+row each; a doc_id with several texts has a fingerprint for each and links through all of them; a null
 doc_id keeps its row, and component_id is the smallest non-null doc_id reachable (null if there is none).
-An empty table gives an empty result. Other columns of the input are ignored.
+An empty table gives an empty result. Other columns of the input are ignored by the query, whatever their names, and passed
+on by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -24,9 +29,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.llm.common import bounded_batches, checkpointed, raw_bytes, text_bytes
 from factloom.llm.components import connected_components
@@ -78,8 +82,15 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(bytes(x)) for x in raw_bytes(batch.column(1))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        values = np.array([fingerprint(bytes(x)) for x in raw_bytes(batch.column(0))], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
+
+
+def _fingerprinted(docs: DataFrame, text_col: str, columns: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(fp, ...) of each row, with further (column, type) by name, checkpointed."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(text_bytes(text_col).alias("__text"), *[c.cast(kind).alias(name) for name, (c, kind) in columns.items()])
+    return checkpointed(rows.mapInArrow(_fingerprints, ", ".join(["fp long", *(f"{name} {kind}" for name, (_, kind) in columns.items())])))
 
 
 def stars(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +146,8 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Star links (a, b) that connect exactly what the pairs within the radius among distinct ``fp`` connect."""
     keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(TABLES)])
     dealt = nodes.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.key")
-    counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key")))
-    shared = checkpointed(counted.where("n > 1"))
+    sizes = checkpointed(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = checkpointed(dealt.join(sizes, ["t", "key"]).select("fp", "t", "key", "n"))
     out = _bucket_links(shared.where(F.col("n") <= bucket))
     large = shared.where(F.col("n") > bucket)
     if not large.isEmpty():
@@ -147,14 +158,17 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.distinct()
 
 
+def roots(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The distinct fingerprints ``fp`` of a table with their other columns and ``root``, a fingerprint that names the component."""
+    nodes = checkpointed(nodes)
+    found = connected_components(links(nodes.select("fp"), bucket)).select(F.col("node").alias("fp"), F.col("root").alias("__root"))
+    return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("__root", "fp")).drop("__root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id), a row for each input row."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    rows = checkpointed(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp"), bucket))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = _fingerprinted(docs, text_col, {"doc_id": (F.col(id_col), "long")})
+    nodes = roots(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), bucket)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = nodes.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -165,15 +179,25 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the row whose doc_id is the component's id, once.
+def keep_one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component: the first by doc_id (null last), then by a digest of the text, then by the row's JSON.
 
-    Rows without a doc_id stay: nothing names one of them.
+    The rows' choice is a minimum by fingerprint and then by component, so a component of any size is partial minima only.
+    Rows that agree in doc_id and text are told apart by a minimum over their JSON form; equal rows are interchangeable.
     """
-    found = near_duplicates(docs)
-    kept = checkpointed(found.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").count())
-    stay = docs.join(kept.select(F.col("doc_id").alias("__kept_id")), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    again = kept.where("doc_id IS NOT NULL AND count > 1").select("doc_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("digest"))
+    digest = F.md5(text_bytes())
+    rows = _fingerprinted(docs, "text", {"doc_id": (F.col("doc_id"), "long"), "digest": (digest, "string")})
+    nodes = roots(rows.groupBy("fp").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows")), bucket)
+    first = checkpointed(nodes.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("__id"), F.col("place.digest").alias("__digest")))
+    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(text_bytes("__row.text")) == F.col("__digest"))
+    stay = docs.select(F.struct("*").alias("__row")).join(first, same)
+    # Rows that agree in doc_id and text are seldom; only they are aggregated, the others pass by.
+    again = checkpointed(rows.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).count().where("count > 1").select("__id", "__digest", F.lit(True).alias("__again")))
     if again.isEmpty():
-        return stay
-    return stay.join(again, "doc_id", "left_anti").unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return stay.select("__row.*")
+    both = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__digest") == F.col("b.__digest"))
+    once = stay.alias("a").join(again.alias("b"), both, "left_anti").select("__row")
+    several = stay.alias("a").join(again.alias("b"), both, "left_semi")
+    chosen = several.groupBy("__id", "__digest").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return once.unionByName(chosen.select("__row")).select("__row.*")

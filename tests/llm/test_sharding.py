@@ -1,8 +1,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import sharding
+from tests.conftest import SF
 from tests.llm.helpers import documents, empty, prose
 from tests.oracle import assert_equal, connect
 
@@ -41,10 +43,21 @@ def test_rows_no_bit_tells_apart(spark):
     assert len(shards) < 60
 
 
+def test_pages_agree_whatever_the_order_of_reading(spark):
+    rows = [(7, "x" * (1 + i % 37) + str(i % 50), "en", "a") for i in range(400)] + [(7, "same text", "en", "b")] * 300 + [(None, None, "en", "c")] * 20
+    docs = documents(spark, rows)
+    found = [sorted((str(r.doc_id), r.n_bytes, r.bucket, r.page, r.shard_bytes) for r in sharding.assign(d, 200).collect()) for d in (docs.repartition(1), docs.repartition(5), docs.orderBy(F.rand(3)), docs.repartition(3, "text"))]
+    assert len(found[0]) == len(rows) and all(x == found[0] for x in found)
+
+
 def test_odd_rows(spark):
     assert sharding.assign(documents(spark), 1000).count() == 14
     assert sharding.assign(empty(spark)).count() == 0
 
 
-def test_equals_duckdb(spark, sf_dir):
-    assert_equal(sharding.op3_sharding(spark, sf_dir), connect(sf_dir), sharding.ORACLE)
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_equals_duckdb(spark, sf):
+    folder = SF.replace("0.001", sf)
+    got = sharding.op3_sharding(spark, folder)
+    assert_equal(got, connect(folder), sharding.ORACLE)
+    assert got.select("depth", "bucket").distinct().count() >= 8

@@ -88,6 +88,49 @@ def test_oversized_buckets_keep_every_link(spark, bucket):
 
 
 def test_one_of_each_stays(spark):
-    kept = simhash.keep_one_of_each(documents(spark)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [1, 3, 6, 7, 8, 9, 10, 11, None, None]))
+    docs = documents(spark)
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 6, 7, 8, 9, 10, 11, None]))
     assert simhash.keep_one_of_each(empty(spark)).count() == 0
+
+
+A, B = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+
+
+@pytest.mark.parametrize(
+    "rows,wanted",
+    [
+        ([(5, A), (3, B), (5, B)], [(3, B), (5, A)]),
+        ([(5, A), (5, B)], [(5, A), (5, B)]),
+        ([(5, B), (5, B), (5, B), (None, B), (None, A)], [(5, B), (None, A)]),
+        ([(None, A), (None, A)], [(None, A)]),
+        ([(2, None), (1, ""), (1, " ")], [(1, "")]),
+    ],
+)
+def test_repeated_ids_with_different_texts(spark, rows, wanted):
+    """Rows are told apart by id and text: of each component one stays, whatever ids stand for."""
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    got = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs).collect()]
+    if (1, "") in wanted:
+        assert len(got) == 1 and got[0][0] == 1
+    else:
+        assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
+def test_rows_of_one_id_and_text_leave_the_same_row(spark):
+    rows = [(1, A, "en", s) for s in ("c", "b", None, "b")] + [(2, B, "en", "z")]
+    for n in (1, 3, 5):
+        got = simhash.keep_one_of_each(documents(spark, rows).repartition(n)).collect()
+        assert sorted((r.doc_id, r.source) for r in got) == [(1, None), (2, "z")]  # JSON leaves a null out
+
+
+def test_query(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = simhash.op2_simhash(spark, sf_dir)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    fp = {i: plain_fingerprint(t) for i, t in docs.items()}
+    roots, least = components(list(fp.values())), {}
+    for i, f in fp.items():
+        least[roots[f]] = min(least.get(roots[f], i), i)
+    assert {tuple(r) for r in got.collect()} == {(i, f"{f:016x}", least[roots[f]]) for i, f in fp.items()}
