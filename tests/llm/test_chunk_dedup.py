@@ -104,3 +104,17 @@ def test_texts_without_repeats(spark):
     got = {r.doc_id: r.text for r in cd.without_repeats(documents(spark, rows)).collect()}
     assert got[1] == passage and got[3] == "short" and got[4] is None
     assert len(got[2]) < len(rows[1][1]) - 0.6 * len(passage) and got[2].startswith(prose(8, 40, None)[:100]) and got[2].endswith(prose(9, 40, None)[-100:])
+
+
+def test_one_id_with_different_texts(spark):
+    """The texts of one doc_id are cut and reported apart; equal rows are one."""
+    p = prose(41, 60, None)
+    around = [f"{prose(42 + i, 30, None)} {p} {prose(52 + i, 30, None)}" for i in range(2)]
+    rows = [(1, p, "en", "a"), (2, around[0], "en", "a"), (2, prose(99, 80, None), "en", "a"), (2, around[1], "en", "a"), (2, around[1], "en", "a")]
+    for n in (1, 4):
+        got = cd.repeated_passages(documents(spark, rows).repartition(n)).collect()
+        assert sorted(r.doc_id for r in got) == [1, 2, 2] and len({r.text_key for r in got}) == 3
+        assert all(any(t.encode()[r.start : r.end].decode() in p for t in around) for r in got if r.doc_id == 2)
+    left = sorted(r.text for r in cd.without_repeats(documents(spark, rows)).where("doc_id = 2").collect())
+    assert len(left) == 4 and prose(99, 80, None) in left
+    assert all(len(t) < len(around[0]) - 0.5 * len(p) for t in left if t != prose(99, 80, None))
