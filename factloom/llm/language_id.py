@@ -1,14 +1,18 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams (one to four bytes of the ASCII-lower-cased UTF-8 text) are hashed to ``BUCKETS`` features. Document
-frequencies are counted over every training document. Weights are learned with FTRL-proximal (elastic net)
-from a sample bounded by ``PER_LANGUAGE`` documents of each language, chosen by a hash of doc_id; a quarter
-of the sample is left out of learning and sets the softmax temperature. Whole texts are used throughout. A feature's
-value is (1 + log tf) idf, scaled to unit length over the text, so a phrase repeated many times doesn't outweigh the rest.
-
-Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text when no
-training document has a language; a null lang is not learned from; ties go to the first language by code
-point; rows pass one by one, repeated rows included. lang, source and doc_id are never inputs of a prediction.
+N-grams (one to four characters, that is code points, of the lower-cased text with ASCII white space as spaces) are hashed
+to ``BUCKETS`` features. Document frequencies are counted over every training document. Weights are learned with
+FTRL-proximal (elastic net) from a sample of at most ``PER_LANGUAGE`` documents of each language, the first by a hash of id
+and text; a quarter of the sample is left out of learning and sets the softmax temperature. Whole texts are used throughout.
+A feature's value is (1 + log tf) idf, scaled to unit length over the text, so a phrase repeated many times doesn't outweigh
+the rest.
+
+Defined results: ``und`` with score 0 for a null or empty text or one without a letter, and for every text when no
+training document has a language; texts of any length are read whole, in slices; a null lang is not learned from; a null
+doc_id is not held out; ties go to the first language by code point; rows pass one by one, repeated rows included, and equal
+texts get equal predictions; an empty table gives an empty result; other columns are ignored, whatever their names. lang,
+source and doc_id are never inputs of a prediction. The driver holds the sample's features, so the number of languages is
+taken to be that of a label column, not of free text.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
@@ -28,29 +33,30 @@ ORDERS, BUCKETS, PER_LANGUAGE = (1, 2, 3, 4), 1 << 15, 600
 SCALE = 5.0
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.1, 0.01, 4
-#: Bytes hashed at once.
+#: Characters hashed at once.
 SLICE = 1 << 20
+#: Fixed values of our hash: multipliers of a character, of the order and of the two mixing steps.
+STEP, ORDER, MIX, LAST = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
+_SPACES = {c: " " for c in range(9, 14)}
 
 
 def ngrams(text: bytes) -> Iterator[np.ndarray]:
     """Feature numbers of a text's n-grams, with repeats, in slices of bounded size."""
-    data = _LOWER[np.frombuffer(text, dtype=np.uint8)].astype(np.uint32)
+    lower = text.decode("utf-8", "replace").lower().translate(_SPACES)
+    data = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     for at in range(0, len(data), SLICE):
-        part = data[at : at + SLICE + max(ORDERS) - 1]
-        packed = np.zeros(len(part), dtype=np.uint32)
+        part = data[at : at + SLICE + max(ORDERS) - 1].astype(np.uint64)
+        packed = np.zeros(len(part), dtype=np.uint64)
         for n in range(1, max(ORDERS) + 1):
             ends = len(part) - n + 1
             if ends <= 0:
                 break
-            packed = (packed[:ends] << np.uint32(8)) | part[n - 1 :]
+            packed = packed[:ends] * np.uint64(STEP) + part[n - 1 :]
             if n in ORDERS:
-                mixed = (packed + np.uint32(n * 0x3C6EF372)) * np.uint32(0x9E3779B1)
-                mixed ^= mixed >> np.uint32(15)
-                yield (mixed * np.uint32(0x85EBCA77) >> np.uint32(17))[:SLICE].astype(np.intp)
+                mixed = (packed + np.uint64(n * ORDER % (1 << 64))) * np.uint64(MIX)
+                mixed ^= mixed >> np.uint64(31)
+                yield (mixed * np.uint64(LAST) >> np.uint64(64 - BUCKETS.bit_length() + 1))[:SLICE].astype(np.intp)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +118,7 @@ class Model:
 
 
 def train(rows: list[tuple], idf: np.ndarray) -> Model:
-    """FTRL-proximal over (place, lang, features, counts), then the temperature on the quarter left out."""
+    """FTRL-proximal over (place, lang, features, counts), in order of place, then the temperature on the quarter left out."""
     languages = sorted({r[1] for r in rows})
     rows = sorted(rows, key=lambda r: (r[0], r[1], len(r[2])))
     label = {x: i for i, x in enumerate(languages)}
@@ -157,31 +163,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """The first ``per_language`` rows of each language by ``place``; (place, lang, text) rows come in.
+
+    The places alone are ranked first (each task hands on that many of each language); of the texts only those up to the last
+    place are then ranked, so that copies on that place don't exceed the number.
+    """
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    last = labelled.select("lang", "place").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("place"))
+    upto = {lang: place for lang, place in last.collect()}
+    if not upto:
+        return labelled.limit(0)
+    ends = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
+    near = labelled.where(F.col("place") <= F.element_at(ends, F.col("lang")))
+    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from the labelled documents that are not held out; None if there are none.
 
-    The driver gets a count for each language, ``BUCKETS`` document frequencies and the sample's features.
+    The driver gets a place for each language, ``BUCKETS`` document frequencies and the sample's features.
     """
     bounded_batches(docs.sparkSession)
-    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 12).cast("double") / float(1 << 52)
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = labelled.select(place.alias("place"), "lang", text_bytes().alias("text"))
-    sizes = dict(labelled.groupBy("lang").count().collect())
-    if not sizes:
-        return None
-    counted = labelled.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    labelled = labelled.select(F.xxhash64("doc_id", "text").alias("place"), "lang", text_bytes().alias("text"))
+    counted = spread(labelled.select("text")).mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     frequency, total = np.zeros(BUCKETS), 0
     for feature, n in counted.collect():
         if feature < 0:
             total = n
         else:
             frequency[feature] = n
+    if not total:
+        return None
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]), F.col("lang")), F.lit(0.0))
-    sample = labelled.where(F.col("place") < share)
-    if not sample.limit(1).count():
-        sample = labelled.limit(per_language)
-    rows = sample.mapInArrow(_sampled, "place double, lang string, at array<int>, counts array<int>").toArrow()
+    rows = sample(labelled, per_language).mapInArrow(_sampled, "place long, lang string, at array<int>, counts array<int>").toArrow()
     columns = [rows.column(0).to_pylist(), rows.column(1).to_pylist(), *([x.values.to_numpy() for x in rows.column(i)] for i in (2, 3))]
     return train(list(zip(*columns)), idf)
 
