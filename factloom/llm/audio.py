@@ -7,8 +7,12 @@ and stored as 16-bit PCM.
 A payload is stored losslessly as the data chunk of a RIFF/WAVE file of 8-bit mu-law samples (format 7) and
 read back through the file's own chunk table.
 
-Defined results: a null text counts as empty and stores 64 zero bytes; equal texts give equal values; rows
-pass one by one, repeated rows included; an empty table gives an empty result.
+The query's figures are summed slice by slice, so beside a text's own stored and read-back bytes a worker holds the samples
+of a slice or two, however long the text. ADPCM blocks of short texts are decoded together up to a slice.
+
+Defined results: a null text counts as empty and stores 64 zero bytes; equal texts give equal values; a null doc_id is kept;
+rows pass one by one, repeated rows included; an empty table gives an empty result; columns besides doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 UNIT, RATE, OUT_RATE, MULAW, ALAW, ADPCM = 64, 8000, 16000, 7, 6, 0x11
-#: Samples expanded at once.
-SLICE = 1 << 20
+#: Bytes of payload expanded at once, a multiple of the block.
+SLICE = 1 << 18
 
 
 def _mulaw_table() -> np.ndarray:
@@ -125,56 +129,110 @@ def load(media: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
+def pcm_slices(kind: int, payload: bytes) -> Iterator[np.ndarray]:
+    """The payload's samples, slice by slice."""
+    for at in range(0, len(payload), SLICE):
+        part = payload[at : at + SLICE]
+        yield decode_adpcm(part) if kind == ADPCM else expand(np.frombuffer(part, dtype=np.uint8), {MULAW: MULAW_TABLE, ALAW: ALAW_TABLE}[kind])
+
+
 def to_pcm(kind: int, payload: bytes) -> np.ndarray:
-    if kind == ADPCM:
-        return decode_adpcm(payload)
-    codes = np.frombuffer(payload, dtype=np.uint8)
-    table = {MULAW: MULAW_TABLE, ALAW: ALAW_TABLE}[kind]
-    return np.concatenate([expand(codes[i : i + SLICE], table) for i in range(0, max(1, len(codes)), SLICE)])
+    return np.concatenate([np.zeros(0, dtype=np.int16), *pcm_slices(kind, payload)])
+
+
+def doubled_slices(slices: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """What ``resample`` to the double rate makes of the whole signal, slice by slice: each waits for the next one's first sample."""
+    held = None
+    for part in slices:
+        if held is not None:
+            yield resample(np.append(held, part[:1]))[:-2]
+        held = part
+    if held is not None:
+        yield resample(held)
 
 
 def padded(text: bytes) -> bytes:
     return text + b"\0" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
-def _figures(pcm: np.ndarray) -> str:
-    """Mean square (integer), peak and sign changes of a signal."""
-    wide = pcm.astype(np.int64)
-    return f"{int((wide * wide).sum()) // len(wide)}/{int(np.abs(wide).max())}/{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}"
+class Figures:
+    """Mean square (integer), peak and sign changes of a signal that comes in slices."""
+
+    def __init__(self) -> None:
+        self.n = self.squares = self.peak = self.changes = 0
+        self.negative = None
+
+    def add(self, pcm: np.ndarray) -> None:
+        wide, negative = pcm.astype(np.int64), pcm < 0
+        self.changes += int(np.count_nonzero(negative[1:] != negative[:-1])) + (self.negative is not None and bool(self.negative != negative[0]))
+        self.n, self.squares, self.peak = self.n + len(pcm), self.squares + int(wide @ wide), max(self.peak, int(wide.max()), -int(wide.min()))
+        self.negative = negative[-1]
+
+    def __str__(self) -> str:
+        return f"{self.squares // self.n}/{self.peak}/{self.changes}"
+
+
+def figures(slices: Iterator[np.ndarray]) -> str:
+    out = Figures()
+    for part in slices:
+        out.add(part)
+    return str(out)
+
+
+def adpcm_figures(payloads: list[bytes]) -> list[str]:
+    """The figures of each payload's ADPCM samples; the blocks of short payloads are decoded together, up to a slice at once."""
+    out, group, size = [], [], 0
 
+    def flush() -> None:
+        if not group:
+            return
+        rows = decode_adpcm(b"".join(group)).reshape(-1, 2 * (UNIT - 4) + 1)
+        ends = np.cumsum([len(x) // UNIT for x in group])
+        out.extend(figures(iter([part.reshape(-1)])) for part in np.split(rows, ends[:-1]))
+        group.clear()
 
-def features(kind: int, payload: bytes) -> str:
-    """Figures of the payload expanded by each of the three codecs, of which the stored one is resampled too."""
-    own = resample(to_pcm(kind, payload))
-    parts = [f"pcm{OUT_RATE}:{_figures(own)}"]
-    parts += [f"{name}:{_figures(to_pcm(k, payload))}" for name, k in (("mulaw", MULAW), ("alaw", ALAW), ("adpcm", ADPCM))]
-    return ";".join(parts)
+    for payload in payloads:
+        if size + len(payload) > SLICE:
+            flush()
+            size = 0
+        if len(payload) > SLICE:
+            out.append(figures(pcm_slices(ADPCM, payload)))
+        else:
+            group.append(payload)
+            size += len(payload)
+    flush()
+    return out
 
 
 def _figures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm_sha256": pa.string()}
     for batch in batches:
-        stored = [store(padded(bytes(raw))) for raw in raw_bytes(batch.column(1))]
-        loaded = [load(media) for media in stored]
-        blocks = np.cumsum([0, *(len(back) // UNIT for _, _, back in loaded)])
-        adpcm = decode_adpcm(b"".join(back for _, _, back in loaded)).reshape(-1, 2 * (UNIT - 4) + 1) if loaded else None
-        columns: list[list] = [[] for _ in range(8)]
-        for i, (raw, media, (kind, rate, back)) in enumerate(zip(raw_bytes(batch.column(1)), stored, loaded)):
-            pcm = to_pcm(kind, back)
-            sound = resample(pcm, rate)
-            text = ";".join(
-                [
-                    f"pcm{OUT_RATE}:{_figures(sound)}",
-                    f"mulaw:{_figures(pcm)}",
-                    f"alaw:{_figures(to_pcm(ALAW, back))}",
-                    f"adpcm:{_figures(adpcm[blocks[i] : blocks[i + 1]].reshape(-1))}",
-                ]
-            )
-            values = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text, hashlib.sha256(sound.astype("<i2").tobytes()).hexdigest()]
-            for column, value in zip(columns, values):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
+        columns: dict[str, list] = {name: [] for name in kinds}
+        read: list[bytes] = []
+        held, first = 0, 0
+
+        def with_adpcm() -> None:
+            for i, text in enumerate(adpcm_figures(read), first):
+                columns["feature"][i] += f";adpcm:{text}"
+
+        for raw in raw_bytes(batch.column(1)):
+            media = store(padded(bytes(raw)))
+            kind, rate, back = load(media)
+            digest, sound = hashlib.sha256(), Figures()
+            for part in doubled_slices(pcm_slices(kind, back)) if OUT_RATE == 2 * rate else [resample(to_pcm(kind, back), rate)]:
+                digest.update(part.astype("<i2").tobytes())
+                sound.add(part)
+            feature = f"pcm{OUT_RATE}:{sound};mulaw:{figures(pcm_slices(kind, back))};alaw:{figures(pcm_slices(ALAW, back))}"
+            values = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, digest.hexdigest()]
+            for name, value in zip(kinds, values):
+                columns[name].append(value)
+            read.append(back)
+            held += len(back)
+            if held > SLICE:
+                with_adpcm()
+                first, read, held = len(columns["feature"]), [], 0
+        with_adpcm()
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[name], k) for name, k in kinds.items())], names=["doc_id", *kinds])
 
 
 def _media(kind: int):

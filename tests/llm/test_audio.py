@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -36,6 +37,20 @@ def adpcm_block(block):
     return out
 
 
+def plain_figures(samples):
+    changes = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+    return f"{sum(x * x for x in samples) // len(samples)}/{max(map(abs, samples))}/{changes}"
+
+
+def plain_feature(payload):
+    """The feature by plain decoders, sample by sample: doubled mu-law, mu-law, A-law and ADPCM."""
+    mulaw = [g711_mulaw(c) for c in payload]
+    doubled = [y for a, b in zip(mulaw, mulaw[1:] + mulaw[-1:]) for y in (a, round((a + b) / 2))]
+    adpcm = [x for i in range(0, len(payload), 64) for x in adpcm_block(payload[i : i + 64])]
+    signals = {"pcm16000": doubled, "mulaw": mulaw, "alaw": [g711_alaw(c) for c in payload], "adpcm": adpcm}
+    return ";".join(f"{name}:{plain_figures(x)}" for name, x in signals.items())
+
+
 def test_tables():
     assert audio.MULAW_TABLE.tolist() == [g711_mulaw(c) for c in range(256)]
     assert audio.ALAW_TABLE.tolist() == [g711_alaw(c) for c in range(256)]
@@ -91,7 +106,7 @@ def test_odd_rows(spark):
         media = audio.store(payload)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-        assert r.feature == audio.features(audio.MULAW, payload)
+        assert r.feature == plain_feature(payload)
         assert values.setdefault(raw, r.feature) == r.feature
 
 
@@ -109,4 +124,29 @@ def test_features_come_from_the_bytes_read_back(monkeypatch):
     monkeypatch.setattr(audio, "load", lambda media: (*load(media)[:2], back))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some bytes"])], names=["doc_id", "text"])
     [got] = audio._figures_of(iter([batch]))
-    assert got.column("feature").to_pylist() == [audio.features(audio.MULAW, back)]
+    assert got.column("feature").to_pylist() == [plain_feature(back)]
+
+
+@pytest.mark.parametrize("size", [64, 128, 192])
+def test_slices_change_nothing(monkeypatch, size):
+    r = np.random.default_rng(size)
+    texts = [r.integers(0, 256, int(n), dtype=np.uint8).tobytes() for n in (0, 1, 63, 64, 65, 130, 1000, 64, 300, 5, 640)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    [whole] = audio._figures_of(iter([batch]))
+    monkeypatch.setattr(audio, "SLICE", size)
+    [parts] = audio._figures_of(iter([batch]))
+    assert whole.equals(parts)
+    assert whole.column("feature").to_pylist() == [plain_feature(audio.padded(t)) for t in texts]
+    sounds = [audio.resample(audio.to_pcm(audio.MULAW, audio.padded(t))).astype("<i2").tobytes() for t in texts]
+    assert whole.column("pcm_sha256").to_pylist() == [hashlib.sha256(x).hexdigest() for x in sounds]
+
+
+def test_memory_of_a_long_text():
+    """A long text needs a few times its own size: the text, its stored form and what is read back."""
+    n = 8 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"abcdefg " * (n // 8)])], names=["doc_id", "text"])
+    tracemalloc.start()
+    [got] = audio._figures_of(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("payload_bytes").to_pylist() == [n] and peak < 8 * n
