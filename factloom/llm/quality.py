@@ -1,19 +1,25 @@
 """Quality rules by distribution divergence.
 
-A first pass over the whole corpus counts, for each language, character classes and words; from these come
-that language's references: its class distribution and the distribution over its most frequent words (all
-other words are one further class). A second pass measures each document's Jensen-Shannon distance (base 2,
-0 to 1) to the references of its language, or to the nearest where it has none, and rejects a document
-beyond a distance. Length guards keep a document that is too short for a histogram from being judged by it.
+A first pass over the whole corpus makes each language's references: the median share of each character class over its
+texts, and the distribution over its most frequent words (all other words are one further class). Copies of a text together
+weigh as one text, so neither a large group of copies nor junk in less than half of the texts moves the class reference, and
+copies don't move the words. A second pass measures each document's Jensen-Shannon distance (base 2, 0 to 1) to the
+references of its language, or to the nearest where it has none, and rejects a document beyond a distance. Length guards
+keep a document that is too short for a histogram from being judged by it; beyond them, what a sample of the document's
+length differs from its own source on average, (bins - 1) / (8 n ln 2) of the squared distance, is taken off first.
 
 Base rules come first: fewer than 20 words, or over 30 % of words in eight-word windows that occur again.
 
-Defined results: null text counts as empty (rejected by its length); a null or unknown lang is compared with
-every reference; if there are none, the method rejects nothing; rows pass one by one, repeated rows included.
+Defined results: null text counts as empty (rejected by its length); texts of any length are read whole; a null or unknown
+lang is compared with every reference; if there are none, the method rejects nothing; a distance equal to its limit is
+kept; words that tie for the last place of a reference go by their bytes; a null doc_id is kept; rows pass one by one,
+repeated rows included, and equal rows get equal results; an empty table gives an empty result; other columns are ignored
+by ``judge`` and passed on by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,15 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
+from factloom.llm.common import bounded_batches, checkpointed, raw_bytes, spread, text_bytes
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: Words of a language's reference; distances above which a document is rejected; least sizes to be judged.
 COMMON_WORDS = 50
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.38
 MIN_CHARS, MIN_COMMON_GUARD = 200, 100
 #: Words a counting task holds before it hands its counts on.
 HELD_WORDS = 300_000
+#: Steps in which a share is counted for the median, and how many of them are ranked together.
+STEPS, BLOCK = 1000, 50
+#: The weight of a text; n copies weigh UNIT / n each.
+UNIT = 1 << 20
+#: Groups of copies whose digests are broadcast (under 100 bytes each); beyond it rows meet them by a shuffle.
+BROADCAST_COPIES = 200_000
 
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "other", "letter"]
 #: Class of each UTF-8 byte: ASCII by kind; a lead byte stands for its character; continuation bytes count as none.
@@ -113,9 +125,10 @@ def _plain(word: bytes) -> bytes:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, n) of a task: character classes of kind c, words of kind w, their total of kind t."""
+    """(lang, kind, key, n) of a task, weighted: words of kind w, their total of kind t, and for each class and block of steps
+    (kind "class/block") the texts whose share of the class is at a step."""
     held: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
+    shares: Counter = Counter()
     totals: dict[str, int] = {}
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -123,49 +136,81 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.string()), pa.array(key, pa.binary()), pa.array(n, pa.int64())], names=["lang", "kind", "key", "n"])
 
     for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
+        for lang, weight, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_bytes(batch.column(2))):
             text = bytes(raw)
-            if text:
-                words = list(filter(None, map(_plain, text.split())))
-                held.setdefault(lang, Counter()).update(words)
-                totals[lang] = totals.get(lang, 0) + len(words)
-                classes[lang] = classes.get(lang, 0) + class_counts(text)
+            if not text:
+                continue
+            words = Counter(filter(None, map(_plain, text.split())))
+            own = held.setdefault(lang, Counter())
+            for word, n in words.items():
+                own[word] += n * weight
+            totals[lang] = totals.get(lang, 0) + words.total() * weight
+            counts = class_counts(text)
+            if counts.sum() >= MIN_CHARS:
+                for k, step in enumerate(np.rint(counts * (STEPS / counts.sum())).astype(int).tolist()):
+                    shares[lang, k, step] += weight
         if sum(map(len, held.values())) > HELD_WORDS:
             yield rows([(lang, "w", k, n) for lang, c in held.items() for k, n in c.items()])
             held = {}
     if words := [(lang, "w", k, n) for lang, c in held.items() for k, n in c.items()]:
         yield rows(words)
-    if found := [(lang, "c", name.encode(), int(n)) for lang, c in classes.items() for name, n in zip(CLASSES, c)]:
-        yield rows(found + [(lang, "t", b"", n) for lang, n in totals.items()])
+    if rest := [(lang, f"{k}/{step // BLOCK}", str(step).encode(), n) for (lang, k, step), n in shares.items()] + [(lang, "t", b"", n) for lang, n in totals.items()]:
+        yield rows(rest)
+
+
+def _weighted(docs: DataFrame) -> DataFrame:
+    """(lang, weight, text) of the documents with a language: UNIT divided by the number of copies of the text."""
+    rows = docs.where("lang IS NOT NULL").select("lang", text_bytes().alias("text"))
+    rows = rows.withColumn("digest", F.md5("text"))
+    copies = checkpointed(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    weight = F.greatest(F.lit(1), F.round(UNIT / F.coalesce("copies", F.lit(1)))).cast("long")
+    return rows.join(copies, "digest", "left").select("lang", weight.alias("weight"), "text")
+
+
+def _median(at: dict[int, int]) -> float:
+    """The share in the middle of counts by step, in between the steps where the middle lies between two."""
+    half, seen = sum(at.values()) / 2, 0
+    steps = sorted(at)
+    for step, after in zip(steps, steps[1:] + steps[-1:]):
+        seen += at[step]
+        if seen >= half:
+            return (step if seen > half else (step + after) / 2) / STEPS
+    return 0.0
 
 
 def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, dict]:
     """For each language of the corpus, its class histogram and its most frequent words with the rest's count.
 
-    Counts cover every document with a language; the driver gets ``common`` words and the classes of each.
+    Counts cover every document with a language; the driver gets ``common`` words and at most 8 x (STEPS + 1) counts of each.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where("lang IS NOT NULL").select("lang", text_bytes().alias("text"))
-    counted = spread(rows).mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    # One window takes the common words and, being fewer, all classes and the total too: the corpus is read once.
+    counted = spread(_weighted(docs)).mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    # One window takes the common words and, a block having fewer steps, all shares and the total too: the corpus is read once.
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    wanted = counted.withColumn("place", place).where(F.col("place") <= max(common, len(CLASSES))).drop("place")
+    wanted = counted.withColumn("place", place).where(F.col("place") <= max(common, BLOCK)).drop("place")
     out: dict[str, dict] = {}
     for lang, kind, key, n in wanted.collect():
-        own = out.setdefault(lang, {"classes": np.zeros(len(CLASSES)), "words": {}, "total": 0})
-        if kind == "c":
-            own["classes"][CLASSES.index(bytes(key).decode())] = n
-        elif kind == "w":
+        own = out.setdefault(lang, {"shares": [{} for _ in CLASSES], "words": {}, "total": 0})
+        if kind == "w":
             own["words"][bytes(key)] = n
-        else:
+        elif kind == "t":
             own["total"] = n
+        else:
+            own["shares"][int(kind.split("/")[0])][int(bytes(key))] = n
     for own in out.values():
-        names = sorted(own["words"], key=lambda w: (-own["words"][w], w))
+        own["classes"] = np.array([_median(at) for at in own["shares"]])
+        names = sorted(own["words"], key=lambda w: (-own["words"][w], w))[:common]
         own["index"] = {w: i for i, w in enumerate(names)}
-        own["histogram"] = np.array([own["words"][w] for w in names] + [own["total"] - sum(own["words"].values())], dtype=float)
+        own["histogram"] = np.array([own["words"][w] for w in names] + [own["total"] - sum(own["words"][w] for w in names)], dtype=float)
     return out
 
 
+def beyond_chance(distance: float, bins: int, n: int) -> float:
+    """A distance without what a sample of n differs from its source on average."""
+    return max(0.0, distance * distance - (bins - 1) / (8 * n * math.log(2))) ** 0.5
+
+
 def distances(m: dict, lang: str | None, known: dict[str, dict]) -> tuple[float | None, float | None]:
     """(class distance, word distance) to the language's reference, or to the nearest; None where a guard holds."""
     near: list[tuple[float | None, float | None]] = []
@@ -173,14 +218,16 @@ def distances(m: dict, lang: str | None, known: dict[str, dict]) -> tuple[float
     worded = m["n_words"] >= MIN_COMMON_GUARD
     seen = Counter(map(_plain, m["words"])) if worded else None
     for own in [known[lang]] if lang in known else known.values():
-        by_class = js_distance(m["classes"].astype(float), own["classes"]) if judged and own["classes"].sum() else None
+        by_class = None
+        if judged and own["classes"].sum():
+            by_class = beyond_chance(js_distance(m["classes"].astype(float), own["classes"]), len(CLASSES), int(m["classes"].sum()))
         by_word = None
         if worded and own["histogram"].sum():
             h = np.zeros(len(own["histogram"]))
             for w, i in own["index"].items():
                 h[i] = seen.get(w, 0)
             h[-1] = sum(seen.values()) - seen.get(b"", 0) - h.sum()
-            by_word = js_distance(h, own["histogram"]) if h.sum() else 1.0
+            by_word = beyond_chance(js_distance(h, own["histogram"]), len(h), int(h.sum())) if h.sum() else 1.0
         near.append((by_class, by_word))
     if not near:
         return None, None
