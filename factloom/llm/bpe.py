@@ -12,7 +12,8 @@ the right.
 
 Defined results: null text counts as empty (no ids, empty decoding); special tokens inside a text are
 single ids, as the public library reads them; invalid UTF-8 in decoded ids becomes U+FFFD. Rows pass one
-by one, repeated rows included; an empty table gives an empty result.
+by one, repeated rows included, and texts of any length are encoded whole; a null doc_id is kept; an empty table gives an
+empty result; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ prefix of the sources in order of cap / weight.
 
 Defined results: null text has size 0 (and takes 0); a null source is a source of its own, last in order; a
 source without words has target 0; rows that agree in id and text at the cut share what is left of the
-budget evenly; a null doc_id takes the key of the empty id with its text; an empty table gives an empty result.
+budget evenly, so equal rows take equally; a null doc_id takes the key of the empty id with its text; texts of any length
+count whole; an empty table gives an empty result; columns besides doc_id, text and source are ignored by ``mix`` and passed
+on by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
