@@ -28,11 +28,13 @@ def touches(kind: str, id_: str) -> Column:
 
 @dataclass
 class SparkAccess:
-    """``texts`` is (reference struct, text); ``taxonomy`` is (child, parent) of concept ids; ``reasoner`` maps a profile to assertions."""
+    """``texts`` is (reference struct, text); ``postings`` an index over them, (term, reference struct), which text searches use
+    where there is one; ``taxonomy`` is (child, parent) of concept ids; ``reasoner`` maps a profile to assertions."""
 
     assertions: DataFrame
     relationships: DataFrame | None = None
     texts: DataFrame | None = None
+    postings: DataFrame | None = None
     taxonomy: DataFrame | None = None
     reasoner: object = None
 
@@ -54,11 +56,18 @@ class SparkAccess:
         return self.semantic(request)
 
     def lexical(self, text: str, match_type: str = "lexical") -> DataFrame:
-        """References whose text has any token of the query; the search index gives the scored form."""
-        if self.texts is None:
+        """References whose text has any token of the query: the index's postings of those tokens, or a scan of the texts. The search
+        index gives the scored form."""
+        source = self.postings if self.postings is not None else self.texts
+        if source is None:
             raise QueryError("no text is indexed")
-        wanted = self.texts.sparkSession.range(1).select(tokenize(F.lit(text)).alias("t")).first()[0]
-        hits = self.texts.where(F.arrays_overlap(tokenize(F.col("text")), F.array(*[F.lit(t) for t in wanted]))) if wanted else self.texts.limit(0)
+        wanted = source.sparkSession.range(1).select(F.array_distinct(tokenize(F.lit(text))).alias("t")).first()[0]
+        if not wanted:
+            hits = source.limit(0)
+        elif self.postings is not None:
+            hits = source.where(F.col("term").isin(*wanted)).select("reference").distinct()
+        else:
+            hits = source.where(F.arrays_overlap(tokenize(F.col("text")), F.array(*[F.lit(t) for t in wanted])))
         empty = {name: F.lit(None).cast(kind).alias(name) for name, kind in CANDIDATE.items()}
         empty |= {"reference": F.col("reference"), "match_type": F.lit(match_type).alias("match_type"), "publication": F.lit("published").alias("publication"), "inference": F.lit("observed").alias("inference")}
         return hits.select(*[empty[name].cast(kind).alias(name) for name, kind in CANDIDATE.items()])
@@ -82,7 +91,9 @@ class SparkAccess:
         if self.relationships is None:
             raise QueryError("no relationships are declared")
         rows = self.assertions if request.predicate is None else self.assertions.where(F.col("predicate") == request.predicate)
-        bounds = graph.Bounds(request.budget.max_depth, request.budget.max_edges)
+        budget = request.budget
+        # The result limit is not the walk's: it takes the best paths after ranking (plans.query).
+        bounds = graph.Bounds(budget.max_depth, budget.max_edges, None, budget.max_nodes, budget.max_expansion)
         found = graph.paths(graph.edges(rows), self.relationships, (request.kind, request.id), bounds, request.direction)
         last = found.withColumn("last", F.expr("get(keys, size(keys) - 1)"))
         joined = last.join(self.assertions.withColumnRenamed("assertion_id", "last"), "last", "left").withColumn("assertion_id", F.col("last"))

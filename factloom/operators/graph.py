@@ -2,8 +2,9 @@
 
 An edge is an assertion; its id is the assertion id, and that is the order edges are examined in. Paths are
 enumerated level by level. Depth-first pre-order is the order of the paths' edge arrays, and the order in which edges
-are examined is that of the attempts (a path's edges and the edge examined), so an edge budget and a result budget
-are ordered cuts over those arrays and nothing runs on the driver.
+are examined is that of the attempts (a path's edges and the edge examined), so budgets are ordered cuts over those arrays
+and nothing runs on the driver. An attempt's number only grows as deeper ones are added, so what is beyond an edge budget
+after a level stays beyond it: no level keeps more than the budget's rows for a start.
 """
 
 from __future__ import annotations
@@ -77,6 +78,16 @@ def incident(graph: DataFrame, kind: str, id_: str) -> DataFrame:
     return graph.where(is_ref("source", kind, id_) | is_ref("target", kind, id_)).orderBy("edge_id")
 
 
+def node(graph: DataFrame, kind: str, id_: str) -> DataFrame:
+    """The node of a reference: one row (kind, id), or none."""
+    return nodes_of(graph.where(is_ref("source", kind, id_) | is_ref("target", kind, id_))).where((F.col("kind") == kind) & (F.col("id") == id_))
+
+
+def edge(graph: DataFrame, assertion_id: str) -> DataFrame:
+    """The edge of an assertion: one row, or none."""
+    return graph.where(F.col("edge_id") == assertion_id)
+
+
 def degrees(graph: DataFrame) -> DataFrame:
     """(kind, id, outgoing, incoming): both counts in one aggregation, a self-loop counting on both sides."""
     sides = graph.select(F.explode(F.array(F.struct(F.col("source").alias("r"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("r"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
@@ -118,51 +129,100 @@ def steps(graph: DataFrame, relationships: DataFrame, direction: str = "forward"
 
 @dataclass(frozen=True)
 class Bounds:
+    """Limits of a path search; all but the depth hold for each start and cut the depth-first order.
+
+    Edges: every edge examined at a path's end counts. Results: paths. Nodes: distinct nodes reached. Expansions: paths whose
+    edges are examined.
+    """
+
     max_depth: int
     max_edges: int | None = None
     max_results: int | None = None
+    max_nodes: int | None = None
+    max_expansion: int | None = None
 
 
 def paths(graph: DataFrame, relationships: DataFrame, start: tuple[str, str] | DataFrame, bounds: Bounds, direction: str = "forward") -> DataFrame:
     """(start, path, end, length, keys) in pre-order of ``keys``, the path's edge ids; the zero-length path comes first.
 
     ``start`` is one reference or a DataFrame with column ``start``; budgets hold for each start. A path never returns
-    to a node it has touched. Each level is one join of the frontier with the steps that leave its ends; the frontier
-    carries what a budget needs, and the depth bounds the number of levels.
+    to a node it has touched. Each level is one join of the frontier with the steps that leave its ends.
     """
     spark = graph.sparkSession
     if isinstance(start, tuple):
-        if nodes_of(graph).where((F.col("kind") == start[0]) & (F.col("id") == start[1])).isEmpty():
+        if node(graph, *start).isEmpty():
             raise GraphError("the start is not a node")
         starts = spark.createDataFrame([(start,)], f"start {REF}")
     else:
         starts = start.select("start").distinct()
     empty = F.expr(f"cast(array() as array<{STEP}>)")
-    frontier = starts.select("start", empty.alias("path"), F.col("start").alias("end"), F.expr("cast(array() as array<string>)").alias("keys"), F.array("start").alias("seen"))
-    out = frontier
+    root = starts.select("start", empty.alias("path"), F.col("start").alias("end"), F.expr("cast(array() as array<string>)").alias("keys"), F.array("start").alias("seen"))
     walkable = steps(graph, relationships, direction)
-    budgeted = bounds.max_edges is not None
-    attempts: DataFrame | None = None
-    incidence = graph.select("edge_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("node")) if budgeted else None
-    for level in range(bounds.max_depth):
+    out = _all_paths(root, walkable, bounds.max_depth) if bounds.max_edges is None else _paths_in_budget(root, walkable, graph, bounds.max_depth, bounds.max_edges)
+    in_order = Window.partitionBy("start").orderBy("keys")
+    if bounds.max_expansion is not None:
+        parents = out.where(F.size("keys") < bounds.max_depth).select(F.col("start").alias("s"), F.col("keys").alias("k"), F.row_number().over(in_order).alias("n"))
+        expanded = parents.where(F.col("n") <= bounds.max_expansion).select("s", "k")
+        parent = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - 1, F.lit(0)))
+        # The root is its own prefix and always an expanded or a sole path.
+        out = out.join(expanded, (F.col("start") == F.col("s")) & (parent == F.col("k")), "left").where((F.size("keys") == 0) | F.col("k").isNotNull()).drop("s", "k")
+    if bounds.max_nodes is not None:
+        fresh = (F.row_number().over(Window.partitionBy("start", "end").orderBy("keys")) == 1).cast("int")
+        out = out.withColumn("fresh", fresh).withColumn("reached", F.sum("fresh").over(in_order)).where(F.col("reached") <= bounds.max_nodes).drop("fresh", "reached")
+    if bounds.max_results is not None:
+        out = out.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= bounds.max_results).drop("place")
+    return out.select("start", "path", "end", F.size("path").alias("length"), "keys")
+
+
+def _all_paths(frontier: DataFrame, walkable: DataFrame, max_depth: int) -> DataFrame:
+    """Every cycle-free path up to a depth; a few levels stay one lazy plan."""
+    out = frontier
+    for level in range(max_depth):
         grown = frontier.join(walkable, frontier["end"] == walkable["from"]).where(~F.array_contains("seen", F.col("to")))
-        if budgeted:
-            tried = frontier.join(incidence, frontier["end"] == incidence["node"]).select("start", F.concat("keys", F.array("edge_id")).alias("attempt"))
-            attempts = tried if attempts is None else attempts.unionByName(tried)
         frontier = grown.select("start", F.concat("path", F.array("step")).alias("path"), F.col("to").alias("end"), F.concat("keys", F.array("edge_id")).alias("keys"), F.concat("seen", F.array("to")).alias("seen"))
-        if PLAIN_LEVELS <= level + 1 < bounds.max_depth:
+        if PLAIN_LEVELS <= level + 1 < max_depth:
             # Beyond a few levels the plan would repeat all joins before; the frontier is cut off and may have run dry.
             frontier = cut(frontier)
             if frontier.isEmpty():
                 break
         out = out.unionByName(frontier)
-    if attempts is not None:
-        numbered = attempts.withColumn("work", F.row_number().over(Window.partitionBy("start").orderBy("attempt"))).where(F.col("work") <= bounds.max_edges)
-        examined = numbered.select(F.col("start").alias("s"), F.col("attempt").alias("a"))
-        out = out.join(examined, (F.col("start") == F.col("s")) & (F.col("keys") == F.col("a")), "left").where((F.size("keys") == 0) | F.col("a").isNotNull()).drop("s", "a")
-    if bounds.max_results is not None:
-        out = out.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("keys"))).where(F.col("place") <= bounds.max_results).drop("place")
-    return out.select("start", "path", "end", F.size("path").alias("length"), "keys")
+    return out
+
+
+def _paths_in_budget(root: DataFrame, walkable: DataFrame, graph: DataFrame, max_depth: int, max_edges: int) -> DataFrame:
+    """The paths that a depth-first walk finds before it has examined more than ``max_edges`` edges for a start.
+
+    ``known`` holds the attempts of all levels so far with their number in depth-first order, the root being number 0, and at
+    most ``max_edges`` of them for a start. Before a level grows, the degrees of the frontier's ends are summed in that order:
+    a path takes only as many of its end's edges as the budget leaves to it, so no hub is unfolded beyond the budget.
+    """
+    incidence = graph.select("edge_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
+    ranked = incidence.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("edge_id"))).where(F.col("rank") <= max_edges)
+    ranked = cut(ranked.select("edge_id", "node", "rank"))
+    degree = ranked.groupBy(F.col("node").alias("n")).agg(F.max("rank").cast("long").alias("degree"))
+    in_order = Window.partitionBy("start").orderBy("keys")
+    known = root.withColumns({"walked": F.lit(True), "number": F.lit(0)})
+    for level in range(max_depth):
+        frontier = known.where(F.col("walked") & (F.size("keys") == level))
+        before = F.coalesce(F.sum("degree").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("number")
+        growing = frontier.join(degree, F.col("end") == F.col("n")).withColumn("left", max_edges - before).where("left > 0").drop("n", "degree", "number", "walked")
+        tried = growing.join(ranked, (F.col("end") == F.col("node")) & (F.col("rank") <= F.col("left"))).drop("rank", "left")
+        step = walkable.select(F.col("edge_id").alias("e"), F.col("from").alias("f"), "to", "step")
+        met = tried.join(step, (F.col("edge_id") == F.col("e")) & (F.col("end") == F.col("f")), "left")
+        walked = F.col("to").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("to")), F.lit(False))
+        grown = met.select(
+            "start",
+            F.when(walked, F.concat("path", F.array("step"))).alias("path"),
+            F.when(walked, F.col("to")).alias("end"),
+            F.concat("keys", F.array("edge_id")).alias("keys"),
+            F.when(walked, F.concat("seen", F.array("to"))).alias("seen"),
+            walked.alias("walked"),
+        )
+        numbered = known.drop("number").unionByName(grown).withColumn("number", F.row_number().over(in_order) - 1)
+        known = cut(numbered.where(F.col("number") <= max_edges))
+        if known.where(F.col("walked") & (F.size("keys") == level + 1)).isEmpty():
+            break
+    return known.where("walked").drop("walked", "number")
 
 
 def nodes_of(graph: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Budget:
-    """Limits of a traversal; only the depth may be zero."""
+    """Limits of a traversal; only the depth may be zero. Nodes, edges and expansions cut the walk in depth-first order, results
+    cut what is returned, in rank order."""
 
     max_depth: int = 3
     max_nodes: int = 10_000
@@ -251,7 +252,10 @@ def execute(query: Plan, access: Access) -> DataFrame:
     if options.cursor is not None:
         options = replace(options, offset=_position(options.cursor) + 1, cursor=None)
     candidates = candidates_of(query, access)
-    return item(top(candidates, options).where(F.col("position") >= options.offset), options.ranking)
+    rows = top(candidates, options).where(F.col("position") >= options.offset)
+    if query.operator.kind == "traversal":
+        rows = rows.where(F.col("position") < query.operator.request.budget.max_results)
+    return item(rows, options.ranking)
 
 
 def candidates_of(query: Plan, access: Access) -> DataFrame:

@@ -99,6 +99,43 @@ register("graph_paths_edge_budget", _paths_sql(3, "'customer-11'", _END + " WHER
 register("graph_paths_result_budget", _paths_sql(3, "'customer-11'", _END + " ORDER BY walk.keys LIMIT 3"))(lambda spark, sf_dir: _walked(spark, sf_dir, "customer-11", graph.Bounds(3, max_results=3)))
 
 
+register(
+    "graph_paths_node_budget",
+    _paths_sql(3, "'customer-11'", f"""SELECT node AS end_id, length, array_to_string(keys, '>') AS keys FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (ORDER BY keys) AS reached
+      FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY keys) = 1 AS fresh FROM walk) a) b WHERE reached <= 3"""),
+)(lambda spark, sf_dir: _walked(spark, sf_dir, "customer-11", graph.Bounds(3, max_edges=1000, max_nodes=3)))
+register(
+    "graph_paths_expansion_budget",
+    _paths_sql(3, "'customer-11'", _END + " WHERE length = 0 OR list_slice(keys, 1, length - 1) IN (SELECT keys FROM (SELECT keys, row_number() OVER (ORDER BY keys) AS n FROM walk WHERE length < 3) e WHERE n <= 2)"),
+)(lambda spark, sf_dir: _walked(spark, sf_dir, "customer-11", graph.Bounds(3, max_expansion=2)))
+
+
+@register(
+    "graph_accessors",
+    f"""{_facts('customers', 'nations')} SELECT DISTINCT 'node' AS what, 'nation-3' AS id FROM facts WHERE si = 'nation-3' OR oi = 'nation-3'
+    UNION ALL SELECT 'edge', min(aid) FROM facts""",
+)
+def graph_accessors(spark, sf_dir):
+    """A node by its reference and an edge by its assertion; what is not there gives no row."""
+    known = fixture.assertions(spark, sf_dir, "customers", "nations")
+    built = graph.edges(known)
+    least = known.agg(F.min("assertion_id")).first()[0]
+    found = graph.node(built, "entity", "nation-3").unionByName(graph.node(built, "concept", "nation-3")).select(F.lit("node").alias("what"), "id")
+    return found.unionByName(graph.edge(built, least).unionByName(graph.edge(built, "nothing")).select(F.lit("edge").alias("what"), F.col("edge_id").alias("id")))
+
+
+@register(
+    "graph_path_connected",
+    f"""{_facts('customers', 'nations')} SELECT a.si AS start_id, true AS whole, false AS reversed FROM facts a JOIN facts b ON a.oi = b.si WHERE a.grp = 'customers' AND b.grp = 'nations'""",
+)
+def graph_path_connected(spark, sf_dir):
+    """Two-step paths are connected; the same steps the other way round are not."""
+    known = fixture.assertions(spark, sf_dir, "customers", "nations")
+    starts = known.where("predicate = 'located-in'").select(F.col("subject").alias("start"))
+    found = graph.paths(graph.edges(known), fixture.relationships(spark), starts, graph.Bounds(2)).where("length = 2")
+    return found.select(F.col("start.id").alias("start_id"), graph.connected(F.col("path")).alias("whole"), graph.connected(F.reverse("path")).alias("reversed"))
+
+
 @register(
     "graph_paths_all_starts",
     f"""{_facts('customers', 'nations')}

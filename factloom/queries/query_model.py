@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring
+from factloom.operators import index
+from factloom.operators.lineage import checkpoint_folder
 from factloom.operators.access import SparkAccess, candidates
 from factloom.plans import filters as f
 from factloom.plans.query import Budget, Lookup, Operator, Options, Plan, Retrieval, Traversal, execute, plan, scored, visible
@@ -237,3 +241,33 @@ def traversal_request(spark, sf_dir):
     access = SparkAccess(fixture.assertions(spark, sf_dir, "nations", "customers"), fixture.relationships(spark))
     request = Traversal("entity", "customer-3", budget=Budget(max_depth=2), options=Options(ordering="path-length"))
     return execute(plan(request), access).where("path_length > 0").select("stable_key", "score", "path_key", "path_length")
+
+
+@register(
+    "traversal_max_results",
+    f"""{fixture.duckdb_facts('nations', 'customers')}, one AS (SELECT aid, oi FROM facts WHERE si = 'customer-3' AND pred = 'located-in')
+    SELECT 'entity:customer-3' AS stable_key, CAST(780 + 100 AS BIGINT) AS score, 0 AS path_length UNION ALL SELECT 'entity:' || oi, CAST(780 + 90 AS BIGINT), 1 FROM one""",
+)
+def traversal_max_results(spark, sf_dir):
+    """The two best of three paths; totals count all three."""
+    access = SparkAccess(fixture.assertions(spark, sf_dir, "nations", "customers"), fixture.relationships(spark))
+    request = Traversal("entity", "customer-3", budget=Budget(max_depth=2, max_results=2), options=Options(visibility=_SEEN))
+    return execute(plan(request), access).select("stable_key", "score", "path_length")
+
+
+@register(
+    "retrieve_lexical_indexed",
+    """WITH q AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM benchmark WHERE item_id = 3),
+    d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents)
+    SELECT DISTINCT 'reference:doc-' || doc_id AS stable_key, 'lexical' AS match_type FROM d JOIN q USING (t) WHERE t <> ''""",
+)
+def retrieve_lexical_indexed(spark, sf_dir):
+    """The same retrieval over a persisted index: the postings are sorted by term, so only the tokens' row groups are read."""
+    texts = fixture.table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.concat(F.lit("doc-"), "doc_id").alias("reference"), "text")
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.persist(index.postings(texts), index.IndexState("search", False), folder)
+    kept, _ = index.load(spark, "search", folder)
+    found = kept.select("term", F.struct(F.lit("reference").alias("kind"), F.element_at(F.split("ref", "\x1f"), 2).alias("id")).alias("reference"))
+    text = fixture.table(spark, sf_dir, "benchmark").where("item_id = 3").first()["text"]
+    access = SparkAccess(fixture.assertions(spark, sf_dir, "nations"), postings=found)
+    return scored(access.retrieve(Retrieval("lexical", ("text", text))), "general").select("stable_key", "match_type")

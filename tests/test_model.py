@@ -207,6 +207,73 @@ def test_edge_budget_counts_examined_edges(spark, budget):
     assert walk(spark, CHAIN, PLAIN, "a", graph.Bounds(4, max_edges=budget)) == brute(CHAIN, "a", 4, budget)
 
 
+def test_budgets_of_a_hub(spark):
+    """A hub of 10^5 edges at depth six: what a level keeps is bounded by the edge budget, and the walk is the depth-first one."""
+    n = 100_000
+    id_ = F.lpad(F.col("id").cast("string"), 7, "0")
+    rows = spark.range(n).select(
+        F.concat(F.lit("e"), id_).alias("edge_id"),
+        F.struct(F.lit("entity").alias("kind"), F.when(F.col("id") % 2 == 0, F.lit("hub")).otherwise(F.concat(F.lit("n"), (F.col("id") - 1).cast("string"))).alias("id")).alias("source"),
+        F.struct(F.lit("entity").alias("kind"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("n"), ((F.col("id") * 7) % n - (F.col("id") * 7) % 2).cast("string"))).alias("id")).alias("target"),
+        F.lit("p").alias("predicate"), F.lit("positive").alias("polarity"),
+    )
+    budget = 2_000
+    found = graph.paths(rows, spark.createDataFrame(PLAIN, RELATIONS), ("entity", "hub"), graph.Bounds(6, max_edges=budget)).collect()
+    edges = [(x.edge_id, x.source.id, x.target.id) for x in rows.collect()]
+    incident = {}
+    for key, s, o in edges:
+        for v in {s, o}:
+            incident.setdefault(v, []).append((key, s, o))
+    out, work = [], [0]
+
+    def visit(v, keys, seen):
+        out.append(keys)
+        if len(keys) >= 6 or work[0] >= budget:
+            return
+        for key, s, o in incident[v]:
+            if work[0] >= budget:
+                break
+            work[0] += 1
+            if s == v and o not in seen:
+                visit(o, [*keys, key], seen | {o})
+
+    visit("hub", [], {"hub"})
+    assert sorted(x["keys"] for x in found) == sorted(out) and len(out) > 500 and max(map(len, out)) > 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9])
+def test_node_and_expansion_budgets(spark, n):
+    """Both cut the depth-first order: after n distinct nodes, and after n paths whose edges were examined."""
+    rows = [*CHAIN, assertion("c", "p", "d", id_="5"), assertion("a", "p", "e", id_="6"), assertion("e", "p", "f", id_="7")]
+    every = brute(rows, "a", 3, 10_000)
+    reached, wanted = set(), []
+    for end, keys in every:
+        reached.add(end)
+        if len(reached) > n:
+            break
+        wanted.append((end, keys))
+    assert walk(spark, rows, PLAIN, "a", graph.Bounds(3, max_edges=10_000, max_nodes=n)) == wanted
+    expanded = [keys for _, keys in every if len(keys) < 3][:n]
+    assert walk(spark, rows, PLAIN, "a", graph.Bounds(3, max_expansion=n)) == [(end, keys) for end, keys in every if not keys or keys[:-1] in expanded]
+
+
+def test_graph_accessors(spark):
+    known = graph.edges(table(spark, *CHAIN))
+    assert [x.id for x in graph.node(known, "entity", "b").collect()] == ["b"] and graph.node(known, "concept", "b").isEmpty()
+    assert [x.target.id for x in graph.edge(known, "2").collect()] == ["c"] and graph.edge(known, "99").isEmpty()
+
+
+def test_traversal_results_and_explanation(spark):
+    access = SparkAccess(table(spark, *CHAIN), spark.createDataFrame(PLAIN, RELATIONS))
+    request = Traversal("entity", "a", budget=Budget(max_depth=5, max_results=2), options=Options(visibility=f.Visibility("all", None, True, True, True)))
+    assert execute(plan(request), access).count() == 2
+    got = page(request, access)
+    assert (got.total_matches, got.returned) == (4, 2)
+    assert got.explanation == {"summary": "traversal query", "expansion": "none", "reasoning": "none", "index": "optional", "profile": "general", "truncated": True}
+    whole = page(Traversal("entity", "a", options=request.options), access).explanation
+    assert whole["truncated"] is False
+
+
 def test_inverse_needs_a_declaration(spark):
     assert walk(spark, CHAIN, PLAIN, "c", graph.Bounds(1), "inverse") == [("c", []), ("a", ["0"])]
     known = graph.steps(graph.edges(table(spark, *CHAIN)), spark.createDataFrame(PLAIN, RELATIONS), "inverse").collect()
