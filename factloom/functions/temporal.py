@@ -31,9 +31,11 @@ def instant(seconds: Column, nanos: Column | None = None) -> Column:
 
 
 def instant_of_micros(us: Column) -> Column:
-    """An instant from microseconds since the epoch; seconds are floored, so nanoseconds are never negative."""
-    s = F.floor(us / 1_000_000)
-    return F.when(us.isNotNull(), instant(s, (us - s * 1_000_000) * 1000)).otherwise(F.lit(None).cast(INSTANT))
+    """An instant from microseconds since the epoch; seconds are floored, so nanoseconds are never negative. Integers alone:
+    the far ends of the calendar have more digits than a double."""
+    us = us.cast("bigint")
+    rest = F.pmod(us, F.lit(1_000_000).cast("bigint"))
+    return F.when(us.isNotNull(), instant(F.call_function("div", us - rest, F.lit(1_000_000).cast("bigint")), rest * 1000)).otherwise(F.lit(None).cast(INSTANT))
 
 
 def valid_instant(at: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.temporal import definitely_disjoint
 
@@ -39,6 +40,36 @@ def detect(assertions: DataFrame, functional: list[str]) -> DataFrame:
     return both.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "kind")
 
 
+def functional_conflicts(assertions: DataFrame, functional: list[str]) -> DataFrame:
+    """(subject, predicate, context, qualifiers, assertions, values, pairs) of every group with a functional conflict: how many
+    pairs of its assertions ``detect`` finds, without listing them.
+
+    All pairs of different values, less those whose times certainly don't meet. The latter are counted by a sweep over the
+    group's times in order (a start counts the ends that lie before it), for the group and for each value in it, so a subject
+    with n values costs n log n instead of n * n.
+    """
+    key = ["subject", "predicate", "context", "qualifiers"]
+    rows = assertions.where((F.col("polarity") == "positive") & F.col("predicate").isin(*functional)) if functional else assertions.limit(0)
+    rows = rows.select(*key, "object", "validity")
+    values = rows.groupBy(*key, "object").agg(F.count(F.lit(1)).alias("n"))
+    sizes = values.groupBy(*key).agg(F.sum("n").alias("assertions"), F.count(F.lit(1)).alias("values"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    v = F.col("validity")
+    # At one instant: an exclusive end, an inclusive start, an inclusive end, an exclusive start.
+    start = F.struct(v["start"].alias("at"), F.when(v["start_kind"] == "inclusive", 1).otherwise(3).alias("rank"), F.lit(0).alias("ends"))
+    end = F.struct(v["end"].alias("at"), F.when(v["end_kind"] == "inclusive", 2).otherwise(0).alias("rank"), F.lit(1).alias("ends"))
+    times = rows.where(v["tag"].isin("instant", "interval", "open-ended")).select(*key, "object", F.explode(F.array(start, end)).alias("t")).where("t.at IS NOT NULL")
+
+    def apart(names: list[str]) -> DataFrame:
+        before = F.sum("t.ends").over(Window.partitionBy(*names).orderBy("t.at", "t.rank"))
+        counted = times.select(*names, "t", before.alias("before")).where("t.ends = 0")
+        return counted.groupBy(*names).agg(F.sum("before").alias("apart"))
+
+    within = apart([*key, "object"]).groupBy(*key).agg(F.sum("apart").alias("within"))
+    joined = sizes.join(apart(key), key, "left").join(within, key, "left")
+    pairs = (F.col("assertions") * F.col("assertions") - F.col("squares")) / 2 - F.coalesce("apart", F.lit(0)) + F.coalesce("within", F.lit(0))
+    return joined.select(*key, "assertions", "values", pairs.cast("bigint").alias("pairs")).where("pairs > 0")
+
+
 def records(findings: DataFrame) -> DataFrame:
     """Findings as contradiction records (contradiction_id, assertion_ids, kind, status)."""
     ids = F.array_sort(F.array_distinct(F.array("left_id", "right_id")))

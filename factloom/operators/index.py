@@ -172,18 +172,29 @@ def load(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, IndexS
 
 @dataclass
 class Synchroniser:
-    """Applies a commit to the indexes: checks its coverage and base version, repeats idempotently, isolates failures."""
+    """Applies a commit to the indexes: checks its coverage and base version, repeats idempotently, isolates failures.
+
+    The updates must cover the commit's changes and nothing else (``coverage``); if they don't, every index fails.
+    """
 
     states: dict[str, IndexState] = field(default_factory=lambda: {n: IndexState(n, n != "search") for n in ("forward", "reverse", "search")})
 
-    def apply(self, base: int, version: int, steps: dict) -> dict[str, str]:
-        """steps: name -> callable; the report says synchronised, unchanged, conflict or failed for each index."""
+    def apply(self, base: int, version: int, steps: dict, updates: DataFrame | None = None, changes: DataFrame | None = None) -> dict[str, str]:
+        """steps: name -> callable; updates and changes: (target_kind, reference) of the projections and of the commit.
+
+        The report says synchronised, unchanged, conflict or failed for each index.
+        """
         report = {}
+        covered = updates is None or changes is None or all(side.isEmpty() for side in coverage(updates, changes))
         for name, step in steps.items():
             state = self.states[name]
             if state.version == version:
                 report[name] = "unchanged"
                 continue
+            if not covered:
+                state.failed()
+                report[name] = "failed: the updates don't cover the commit's changes"
+                continue
             if state.version != base:
                 state.failed()
                 report[name] = "conflict"

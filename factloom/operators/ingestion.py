@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.arrays import running
 from factloom.functions.text import valid_label, whitespace_mode
 
 KEY = ["source_id", "record_key", "version", "ordinal"]
@@ -64,14 +65,115 @@ def allowed(steps: dict[str, tuple[str, ...]], from_: Column, to: Column) -> Col
     return F.coalesce(F.array_contains(F.element_at(table, from_), to), F.lit(False))
 
 
+def _folded(events: DataFrame, steps: dict[str, tuple[str, ...]], keys: list[str], order: str, state: str) -> DataFrame:
+    """(keys, rows, after): each candidate's events in order, and the number of its state after each (0 before the first).
+
+    An event is a function from state to state, the identity where the step is refused; functions compose, so the state after
+    every event is a running composition applied to 0. A candidate's log is one row, in memory of one task.
+    """
+    names = list(steps)
+    number = {name: i + 1 for i, name in enumerate(names)}
+    same = F.array(*[F.lit(i) for i in range(len(names) + 1)])
+
+    def function(to: str) -> Column:
+        before = [0, *(number[name] for name in names)]
+        allowed_from = {number[name] for name in names if to in steps[name]} | ({0} if to == names[0] else set())
+        return F.array(*[F.lit(number[to] if i in allowed_from else i) for i in before])
+
+    functions = F.create_map(*[x for name in names for x in (F.lit(name), function(name))])
+    row = F.struct(F.col(order).alias("at"), F.col(state).alias("to"), F.struct("*").alias("event"))
+    by_place = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    grouped = events.groupBy(*keys).agg(F.array_sort(F.collect_list(row), by_place).alias("rows"))
+    moves = F.transform("rows", lambda x: F.coalesce(F.element_at(functions, x["to"]), same))
+    after = F.transform(running(moves, same, lambda a, b: F.transform(a, lambda i: F.get(b, i))), lambda x: F.get(x, F.lit(0)))
+    return grouped.withColumn("after", after)
+
+
 def transitions(events: DataFrame, steps: dict[str, tuple[str, ...]], keys: list[str], order: str, state: str = "state") -> DataFrame:
-    """Events with the state before and whether the step was allowed; the first state of a candidate starts its life."""
-    before = F.lag(state).over(Window.partitionBy(*keys).orderBy(order))
-    return events.withColumn("before", before).withColumn("allowed", F.when(F.col("before").isNull(), F.col(state) == next(iter(steps))).otherwise(allowed(steps, F.col("before"), F.col(state))))
+    """Events with the candidate's state before and whether the step was allowed. The first state of the table starts a life;
+    a refused event leaves the state as it was."""
+    names = F.array(*[F.lit(name) for name in steps])
+    rows = _folded(events, steps, keys, order, state)
+    both = F.transform("rows", lambda x, i: F.struct(x["event"].alias("event"), F.when(i == 0, F.lit(0)).otherwise(F.get("after", i - 1)).alias("was"), F.get("after", i).alias("now")))
+    out = rows.select(F.explode(both).alias("x"))
+    before = F.when(F.col("x.was") > 0, F.element_at(names, F.greatest(F.col("x.was"), F.lit(1))))
+    return out.select("x.event.*", before.alias("before"), (F.col("x.was") != F.col("x.now")).alias("allowed"))
 
 
-def current_states(events: DataFrame, keys: list[str], order: str, state: str = "state") -> DataFrame:
-    return events.groupBy(*keys).agg(F.max_by(state, order).alias(state))
+def current_states(events: DataFrame, steps: dict[str, tuple[str, ...]], keys: list[str], order: str, state: str = "state") -> DataFrame:
+    """(keys, state) after all events, refused ones left out; a candidate whose life never started has none."""
+    names = F.array(*[F.lit(name) for name in steps])
+    last = F.element_at("after", -1)
+    rows = _folded(events, steps, keys, order, state).where(last > 0)
+    return rows.select(*keys, F.element_at(names, F.greatest(last, F.lit(1))).alias(state))
+
+
+#: The states of a run.
+RUN_STATES = ("created", "running", "completed", "completed-with-issues", "failed", "cancelled")
+
+
+@dataclass
+class Run:
+    """One ingestion run over one version of a source: what it registers comes from there, and nothing after its end."""
+
+    operation_id: str
+    source_id: str
+    source_class: str
+    source_version: str | None
+    state: str = "created"
+    error: str | None = None
+
+    def __post_init__(self) -> None:
+        if not all(valid_text(x) for x in (self.operation_id, self.source_id, self.source_class)):
+            raise IngestionError("a run needs an operation, a source and a source class")
+
+    def begin(self) -> None:
+        if self.state != "created":
+            raise IngestionError(f"the run is {self.state}")
+        self.state = "running"
+
+    def _running(self) -> None:
+        if self.state != "running":
+            raise IngestionError(f"the run is {self.state}")
+
+    def judged(self, candidates: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+        """Candidates (key, source_class) with ``code``: those of another source, version or class and those that are
+        registered already are refused; of equal keys in one batch one is registered, which one is open."""
+        self._running()
+        own = (F.col("source_id") == self.source_id) & F.col("version").eqNullSafe(F.lit(self.source_version)) & (F.col("source_class") == self.source_class)
+        rows = candidates.withColumn("own", F.coalesce(own, F.lit(False)))
+        again = F.row_number().over(Window.partitionBy(*KEY, "own").orderBy(F.lit(0))) > 1
+        rows = rows.withColumn("again", again)
+        if registered is not None:
+            there = registered.select(*[F.col(k).alias(f"r_{k}") for k in KEY], F.lit(True).alias("there")).distinct()
+            same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in KEY]
+            rows = rows.join(there, same, "left").withColumn("again", F.col("again") | F.col("there").isNotNull()).drop("there", *[f"r_{k}" for k in KEY])
+        code = F.when(~F.col("own"), "candidate-run-mismatch").when(F.col("again"), "duplicate-candidate")
+        return rows.withColumn("code", code).drop("own", "again")
+
+    def register(self, candidates: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+        """The registered candidates with a batch added, each in state received; a batch with a refused one is an error."""
+        judged = self.judged(candidates, registered)
+        if not judged.where("code IS NOT NULL").isEmpty():
+            raise IngestionError("a candidate is not of this run, or is registered already")
+        new = judged.select(*KEY, F.lit("received").alias("state"))
+        return new if registered is None else registered.select(*KEY, "state").unionByName(new)
+
+    def finish(self, outcome: str, candidates: DataFrame) -> None:
+        """Ends the run; it is completed only if every candidate (state) is synchronised."""
+        self._running()
+        if outcome not in RUN_STATES[2:]:
+            raise IngestionError(f"{outcome!r} is not an outcome")
+        if outcome == "completed" and not candidates.where("NOT (state <=> 'synchronized')").isEmpty():
+            raise IngestionError("a candidate is not synchronised")
+        self.state = outcome
+
+    def fail(self, reason: str) -> None:
+        """A failure of the run itself; its candidates keep their states."""
+        self._running()
+        if not valid_text(reason):
+            raise IngestionError("a failure needs a reason")
+        self.state, self.error = "failed", reason
 
 
 @dataclass
@@ -265,11 +367,12 @@ def object_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("candidate").agg(F.count(F.lit(1)).alias("objects"))
 
 
-def subgraph_findings(records: DataFrame, supports: DataFrame, crosswalk: DataFrame, existing: DataFrame) -> DataFrame:
+def subgraph_findings(records: DataFrame, supports: DataFrame, crosswalk: DataFrame, existing: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(candidate, priority, code, subject) of every rule a subgraph breaks, in the order the checks are made.
 
     records(candidate, kind, id, valid, subject, object, assertion_ids); supports(candidate, assertion_id, evidence_id);
-    crosswalk(candidate, source_id, value, entity_id, declared); existing(kind, id).
+    crosswalk(candidate, source_id, value, entity_id, declared); existing(kind, id). ``candidates`` (candidate) are all
+    candidates that are judged: one with nothing in any table has an empty subgraph.
     """
     local = records.select("candidate", "kind", "id").distinct()
     # What a candidate may refer to: its own records, and what is there already.
@@ -301,6 +404,10 @@ def subgraph_findings(records: DataFrame, supports: DataFrame, crosswalk: DataFr
         unknown(targets, 7, "unknown-crosswalk-"),
         unknown(contradicted, 8, "unknown-contradiction-"),
     ]
+    if candidates is not None:
+        held = records.select("candidate").unionByName(supports.select("candidate")).unionByName(crosswalk.select("candidate")).distinct()
+        nothing = candidates.select("candidate").distinct().join(held, "candidate", "left_anti")
+        parts.append(nothing.select("candidate", F.lit(0).alias("priority"), F.lit("empty-subgraph").alias("code"), F.lit("").alias("subject")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -74,6 +74,22 @@ def confidence_valid(form: Column, score: Column, label: Column, basis: Column)
     return F.coalesce(known & (F.size(basis) > 0), F.lit(False))
 
 
+def confidence_assessment(form: Column, score: Column, label: Column, evidence_ids: Column, verification_ids: Column, explanation: Column) -> Column:
+    """The assessment as a record: form, score or label, and its basis of evidence, verifications and an explanation, each id
+    once and in order; null where it isn't valid or its basis is empty."""
+    nothing = F.expr("cast(array() as array<string>)")
+    ids = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, nothing)))
+    basis = F.concat(ids(evidence_ids), ids(verification_ids), F.filter(F.array(explanation), lambda x: x.isNotNull()))
+    valid = confidence_valid(form, score, label, basis) & F.coalesce(explanation.isNull() | valid_label(explanation), F.lit(False))
+    record = F.struct(
+        form.alias("form"),
+        F.when(form == "numeric", score).alias("score"),
+        F.when(form == "qualitative", label).alias("label"),
+        F.struct(ids(evidence_ids).alias("evidence_ids"), ids(verification_ids).alias("verification_ids"), explanation.alias("explanation")).alias("basis"),
+    )
+    return F.when(valid, record)
+
+
 def is_epistemic(status: Column) -> Column:
     return F.coalesce(status.isin(*EPISTEMIC_STATUSES), F.lit(False))
 

@@ -60,12 +60,18 @@ def match_premise(pattern: r.Pattern, assertions: DataFrame, number: int = 0) ->
     return kept.select(*[c.alias(f"v_{name}") for name, c in variables.items()], whole)
 
 
-def match_premises(rule: r.Rule, assertions: DataFrame) -> DataFrame:
-    """Every way to match all premises: v_<variable> columns and p0, p1, ..."""
+def match_premises(rule: r.Rule, assertions: DataFrame, independent: bool = False) -> DataFrame:
+    """Every way to match all premises: v_<variable> columns and p0, p1, ...
+
+    Premises are joined on the variables they share. Those that share none give every combination, which a rule may mean but
+    only ``independent`` allows.
+    """
     found = match_premise(rule.premises[0], assertions, 0)
     for i, premise in enumerate(rule.premises[1:], 1):
         more = match_premise(premise, assertions, i)
         shared = [c for c in more.columns if c.startswith("v_") and c in found.columns]
+        if not shared and not independent:
+            raise r.RuleError("premises that share no variable multiply; pass independent=True to allow it")
         found = found.join(more, shared) if shared else found.join(more, F.lit(True))
     for condition in rule.conditions:
         found = found.where(_condition(condition, len(rule.premises)))
@@ -106,7 +112,7 @@ def merged_context(contexts: list[Column]) -> Column:
 def apply_rule(rule: r.Rule, assertions: DataFrame, depth: int = 0, scoped: bool = True) -> DataFrame:
     """Applications of a rule: (rule_id, version, depth, premise_ids, in_scope, and the conclusion's assertion columns)."""
     rule.validate()
-    found = match_premises(rule, assertions)
+    found = match_premises(rule, assertions, rule.independent)
     n = len(rule.premises)
     kinds = [v for v in sorted(set().union(*(p.variables() for p in rule.premises)))]
     subject, predicate, object_ = (_term(t) for t in rule.conclusion.terms)
@@ -163,9 +169,15 @@ def derive(rules: list[r.Rule], assertions: DataFrame) -> DataFrame:
     return deduplicated(apply_rules(rules, assertions))
 
 
-def derived_set(applications: DataFrame) -> DataFrame:
-    """A row for each conclusion, with its distinct derivation traces."""
-    trace = F.struct("rule_id", "version", "premise_ids", "depth")
+#: Type of a conclusion's traces.
+TRACES = "array<struct<rule_id:string,version:string,premise_ids:array<string>,profile:string,snapshot:string,input_version:bigint,depth:int>>"
+
+
+def derived_set(applications: DataFrame, profile: str | None = None, snapshot: str | None = None, version: int | None = None) -> DataFrame:
+    """A row for each conclusion, with its distinct derivation traces: rule and version, premises, depth, and the profile,
+    snapshot and version of the knowledge it was derived from, where given."""
+    pinned = [F.lit(x).cast(kind).alias(name) for x, kind, name in ((profile, "string", "profile"), (snapshot, "string", "snapshot"), (version, "bigint", "input_version"))]
+    trace = F.struct("rule_id", "version", "premise_ids", *pinned, F.col("depth"))
     others = [F.first(name).alias(name) for name in ASSERTION if name != "assertion_id"]
     return applications.groupBy("assertion_id").agg(F.array_sort(F.collect_set(trace)).alias("traces"), *others)
 
@@ -203,11 +215,14 @@ class Reasoned:
     expanded: int
 
 
-def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pattern | None = None, seconds: float | None = None) -> Reasoned:
+def reason(
+    assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pattern | None = None, seconds: float | None = None, snapshot: str | None = None, version: int | None = None
+) -> Reasoned:
     """A budgeted run. The goal filters the assertions themselves and prunes rules that can't reach it.
 
     ``seconds`` limits the driver's wall clock: a run past it when its matches are counted derives nothing. The profiles'
     own seconds are meant for one process and would make results depend on the cluster, so they apply only when passed.
+    ``snapshot`` and ``version`` name the knowledge the run reads and are written into the traces.
     """
     if profile not in r.PROFILES:
         raise r.RuleError("reasoning is disabled" if profile == "none" else f"unknown profile {profile!r}")
@@ -220,7 +235,7 @@ def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pa
         working, size = working.orderBy("assertion_id").limit(budgets.max_expansion), budgets.max_expansion
         status, message = "incomplete", "expansion input truncated"
     rules = [x for x in registry.eligible() if x.kind in kinds and (goal is None or r.may_reach(x, goal))]
-    empty = assertions.limit(0).withColumn("traces", F.expr("cast(array() as array<struct<rule_id:string,version:string,premise_ids:array<string>,depth:int>>)"))
+    empty = assertions.limit(0).withColumn("traces", F.expr(f"cast(array() as {TRACES})"))
     if not rules:
         return Reasoned(empty, conflicts(assertions), status, message, 0, size)
     order = ["rule_no", "premise_ids"]
@@ -243,7 +258,7 @@ def reason(assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pa
         status, message = "incomplete", "result limit exceeded; derived output truncated"
     elif 2 * n_matches > budgets.max_applications and not place.isEmpty():
         status, message = "incomplete", "execution budget exhausted during premise matching"
-    derived = derived_set(applied)
+    derived = derived_set(applied, profile, snapshot, version)
     out = derived.select(*ASSERTION, "traces")
     both = assertions.select(*ASSERTION).unionByName(out.select(*ASSERTION))
     return Reasoned(out, conflicts(both), status, message, applied.count(), size)

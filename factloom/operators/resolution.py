@@ -127,7 +127,35 @@ def circular(active: Column, depends_on: Column) -> Column:
 
 
 def resolve(inputs: DataFrame, profiles: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN) -> DataFrame:
-    return decide(inputs, candidates(inputs, profiles), threshold, margin)
+    """(input_id, decision, entity_id), as ``decide`` gives over all ``candidates``, without the pairs that weak signals alone make.
+
+    Keys of a language or a context are shared by many profiles, so their pairs grow with the square of a key. Only pairs with a
+    signal from the threshold on are built; the weak signals of those are looked up for the ranking. Of all other entities it
+    counts alone how strong their best signal is, and that is known from how many entities a key has.
+    """
+    given = input_keys(inputs).withColumn("priority", _priority(F.col("signal")))
+    held = profile_keys(profiles)
+    strong = given.where(F.col("priority") >= threshold).join(held, ["signal", "key"]).select("input_id", "entity_id", "priority").distinct()
+    pairs = strong.select("input_id", "entity_id").distinct()
+    weak = given.where(F.col("priority") < threshold)
+    own = weak.join(pairs, "input_id").join(held, ["entity_id", "signal", "key"]).select("input_id", "entity_id", "signal", "key", "priority")
+    both = strong.unionByName(own.select("input_id", "entity_id", "priority")).distinct()
+    found = both.groupBy("input_id", "entity_id").agg(F.reverse(F.array_sort(F.collect_set("priority"))).alias("priorities"))
+    found = found.withColumn("primary", F.coalesce(F.array_max("priorities"), F.lit(0)))
+    sizes = held.groupBy("signal", "key").agg(F.count(F.lit(1)).alias("entities"))
+    paired = own.groupBy("input_id", "signal", "key").agg(F.count(F.lit(1)).alias("paired"))
+    others = weak.join(sizes, ["signal", "key"]).join(paired, ["input_id", "signal", "key"], "left").where(F.col("entities") > F.coalesce("paired", F.lit(0)))
+    others = others.groupBy("input_id").agg(F.max("priority").alias("other"))
+    best = ranked(found).where("place = 1")
+    joined = inputs.select("input_id").join(best, "input_id", "left").join(others, "input_id", "left")
+    following = F.greatest("next_primary", "other")
+    decision = (
+        F.when(F.col("entity_id").isNull() & F.col("other").isNull(), "unknown")
+        .when(F.col("entity_id").isNull(), "unresolved")
+        .when(following.isNotNull() & (F.col("primary") - following < margin), "ambiguous")
+        .otherwise("resolved")
+    )
+    return joined.select("input_id", decision.alias("decision"), F.when(decision == "resolved", F.col("entity_id")).alias("entity_id"))
 
 
 def crosswalk_conflicts(crosswalk: DataFrame) -> DataFrame:

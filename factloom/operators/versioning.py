@@ -25,11 +25,33 @@ def replayed(changes: DataFrame, after: Column | int = -1) -> DataFrame:
 
 
 def chain_breaks(commits: DataFrame) -> DataFrame:
-    """Commits (version, base) whose base isn't the version before them."""
-    from pyspark.sql.window import Window
-
-    before = F.lag("version").over(Window.orderBy("version"))
-    return commits.withColumn("expected", before).where("expected IS NOT NULL AND base <> expected")
+    """Commits (version, base) whose base is no commit's version; the first commit, of the least version, has none before it."""
+    known = commits.select(F.col("version").alias("base")).distinct()
+    loose = commits.join(known, "base", "left_anti")
+    least = commits.agg(F.min("version").alias("least"))
+    return loose.join(F.broadcast(least), F.col("version") > F.col("least")).select("version", "base")
+
+
+def commit_codes(commits: DataFrame, changes: DataFrame, records: DataFrame) -> DataFrame:
+    """(version, code) of recovery commits: what keeps one from being replayed, null if nothing does.
+
+    commits: (version, base, parent, change_set, change_set_base, named_change_set); changes: (change_set, kind, id);
+    records: (version, kind, id). Checked in this order: the change set has changes, starts from the base, the version's parent
+    is the base and names the change set, and every record's target is among the changes.
+    """
+    sizes = changes.groupBy("change_set").agg(F.count(F.lit(1)).alias("changes"))
+    targets = changes.select("change_set", "kind", "id").distinct()
+    strange = records.join(commits.select("version", "change_set"), "version").join(targets, ["change_set", "kind", "id"], "left_anti")
+    strange = strange.groupBy("version").agg(F.count(F.lit(1)).alias("strange"))
+    joined = commits.join(sizes, "change_set", "left").join(strange, "version", "left")
+    code = (
+        F.when(F.col("changes").isNull(), "empty-change-set")
+        .when(~F.col("change_set_base").eqNullSafe(F.col("base")), "change-set-base-mismatch")
+        .when(~F.col("parent").eqNullSafe(F.col("base")), "parent-mismatch")
+        .when(~F.col("named_change_set").eqNullSafe(F.col("change_set")), "change-set-mismatch")
+        .when(F.col("strange").isNotNull(), "record-not-in-change-set")
+    )
+    return joined.select("version", code.alias("code"))
 
 
 def compatibility(results: DataFrame) -> DataFrame:

@@ -92,6 +92,8 @@ class Rule:
     bindings: tuple[tuple[str, str | None], ...] = ()
     scope: Scope = Scope()
     version: tuple[int, int, int] = (1, 0, 0)
+    #: Whether premises may share no variable, so that every combination of their matches is meant.
+    independent: bool = False
 
     def validate(self) -> None:
         if not self.id.strip():

@@ -169,16 +169,25 @@ def publication_gate(spark, sf_dir):
 _STATES = ("received", "normalized", "mapped", "resolved", "published")
 
 
-@register(
-    "candidate_transitions",
-    """WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'received' WHEN 'click' THEN 'normalized' WHEN 'view' THEN 'mapped' WHEN 'purchase' THEN 'resolved' ELSE 'published' END AS state FROM events),
-    b AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s)
-    SELECT event_id, before, state, CASE WHEN before IS NULL THEN state = 'received' ELSE (before = 'received' AND state = 'normalized') OR (before = 'normalized' AND state = 'mapped') OR (before = 'mapped' AND state = 'resolved') END AS allowed FROM b""",
-)
+# The state machine event by event: a refused step leaves the state.
+_MACHINE = """WITH RECURSIVE s AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'received' WHEN 'click' THEN 'normalized' WHEN 'view' THEN 'mapped' WHEN 'purchase' THEN 'resolved' ELSE 'published' END AS state,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    w AS (SELECT user_id, event_id, n, state, CAST(NULL AS VARCHAR) AS before, state = 'received' AS allowed, CASE WHEN state = 'received' THEN state END AS after FROM s WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, state, before, ok, CASE WHEN ok THEN state ELSE before END FROM
+      (SELECT s.*, w.after AS before, CASE WHEN w.after IS NULL THEN s.state = 'received' ELSE (w.after = 'received' AND s.state = 'normalized') OR (w.after = 'normalized' AND s.state = 'mapped') OR (w.after = 'mapped' AND s.state = 'resolved') END AS ok
+       FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1) x)"""
+
+
+@register("candidate_transitions", f"{_MACHINE} SELECT event_id, before, state, allowed FROM w")
 def candidate_transitions(spark, sf_dir):
     return ingestion.transitions(_stated(_table(spark, sf_dir, "events")), ingestion.CANDIDATE_STEPS, ["candidate"], "seq").select(F.col("seq").alias("event_id"), "before", "state", "allowed")
 
 
+@register("candidate_current_states", f"{_MACHINE} SELECT CAST(user_id AS VARCHAR) AS candidate, max_by(after, n) AS state FROM w GROUP BY user_id HAVING max_by(coalesce(after, ''), n) <> ''")
+def candidate_current_states(spark, sf_dir):
+    return ingestion.current_states(_stated(_table(spark, sf_dir, "events")), ingestion.CANDIDATE_STEPS, ["candidate"], "seq")
+
+
 def _stated(events):
     names = dict(zip(("signup", "click", "view", "purchase"), _STATES))
     state = F.lit("published")
@@ -433,11 +442,17 @@ def origin_rules(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", metadata.origin_code(at(3), at(5), F.lit("v"), F.lit("/1")).alias("code"))
 
 
-@register("authority_check", f"{_facts('suppliers')} SELECT si AS supplier, auth AS reliability, CAST(NULL AS VARCHAR) AS code FROM facts")
+@register(
+    "authority_check",
+    f"""{_facts('suppliers', 'nations')} SELECT si AS subject_id, auth AS reliability, CASE WHEN si LIKE '%3' THEN 'target-mismatch' WHEN oi = 'nation-4' THEN 'target-mismatch' WHEN auth IS NULL THEN 'no-dimension' END AS code FROM facts""",
+)
 def authority_check(spark, sf_dir):
-    rows = fixture.assertions(spark, sf_dir, "suppliers")
-    code = metadata.authority_code(F.lit("assertion"), F.col("assertion_id"), F.lit("assertion"), F.col("assertion_id"), F.col("authority"))
-    return rows.select(F.col("subject.id").alias("supplier"), F.element_at("authority.value", 1).alias("reliability"), code.alias("code"))
+    """Authorities whose owner is another assertion or a source, those that say nothing (nations), and good ones."""
+    rows = fixture.assertions(spark, sf_dir, "suppliers", "nations")
+    owner = F.when(F.col("subject.id").endswith("3"), "other").otherwise(F.col("assertion_id"))
+    kind = F.when(F.col("object.id") == "nation-4", "source").otherwise("assertion")
+    code = metadata.authority_code(kind, owner, F.lit("assertion"), F.col("assertion_id"), F.col("authority"))
+    return rows.select(F.col("subject.id").alias("subject_id"), F.get("authority.value", F.lit(0)).alias("reliability"), code.alias("code"))
 
 
 @register("confidence_range", "SELECT event_id, value / 400 <= 1 AS valid FROM events")
@@ -499,6 +514,13 @@ def interval_contains(spark, sf_dir):
     return fixture.assertions(spark, sf_dir, "events").select("assertion_id", temporal.contains(F.col("validity"), when).alias("found"))
 
 
+@register("instant_far", "SELECT event_id, 'unix:' || (253402300799 - event_id) || '.' || '999999000' AS text FROM events")
+def instant_far(spark, sf_dir):
+    """Instants at the far end of the calendar, where a double has no room for microseconds."""
+    us = F.lit(253402300799999999).cast("bigint") - F.col("event_id") * 1_000_000
+    return _table(spark, sf_dir, "events").select("event_id", temporal.instant_text(temporal.instant_of_micros(us)).alias("text"))
+
+
 @register("instant_text", "SELECT event_id, 'unix:' || (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || '000' AS text FROM events")
 def instant_text(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", temporal.instant_text(temporal.instant_of_micros(F.col("ts_us"))).alias("text"))
@@ -515,7 +537,7 @@ def streaming_source_dedup(spark, sf_dir):
     return streaming.run_available(streaming.source_dedup(rows), _folder(spark)).select("record_key", "version")
 
 
-@register("streaming_candidate_transitions")
+@register("streaming_candidate_transitions", f"{_MACHINE} SELECT CAST(user_id AS VARCHAR) AS candidate, event_id AS seq, before, state, allowed FROM w")
 def streaming_candidate_transitions(spark, sf_dir):
     """The candidate state machine; a refused step leaves the state, so the result isn't a window over neighbours."""
     return streaming.run_available(streaming.transitions(_stated(_stream(spark, sf_dir))), _folder(spark))

@@ -188,10 +188,12 @@ _ruled("rule_type_inheritance", TYPES, _TWO.format(p="instance-of", a="instance-
 _ruled("rule_property_inheritance", TRAITS, _TWO.format(p="has-trait", a="instance-of", b="has-trait"), "types", "traits")
 _ruled("rule_composition", COMPOSED, _TWO.format(p="located-in", a="located-in", b="part-of"), "customers", "nations")
 _ruled("rule_conditional", SOURCED, _TWO.format(p="sourced-from", a="supplied-by", b="located-in") + " AND b.oi <> 'nation-0'", "supply", "suppliers")
+# The scope leaves out orders by their predicate and segments by the kind of their object.
 _ruled(
     "rule_scope",
-    r.Rule("scoped", "composition", COMPOSED.premises, COMPOSED.conclusion, scope=r.Scope(("located-in",), ("entity",))),
-    _TWO.format(p="located-in", a="located-in", b="part-of"), "customers", "nations",
+    r.Rule("scoped", "conditional", (r.Pattern(_X, _Y, _Z),), r.Pattern(_X, _Y, _Z), scope=r.Scope(("located-in", "instance-of"), ("entity",))),
+    "SELECT si AS subject_id, pred AS predicate, oi AS object_id, 'provisional' AS status, aid AS premises FROM u WHERE pred IN ('located-in', 'instance-of') AND sk = 'entity' AND ok = 'entity'",
+    "customers", "segments", "orders",
 )
 _ruled(
     "rule_typed_binding",
@@ -356,10 +358,9 @@ def contradiction_polarity(spark, sf_dir):
     SELECT si AS subject_id, count(*) AS pairs FROM (SELECT a.si FROM p a JOIN p b ON a.si = b.si AND a.aid < b.aid AND a.oi <> b.oi) x GROUP BY si""",
 )
 def contradiction_functional(spark, sf_dir):
-    known = fixture.assertions(spark, sf_dir, "supply")
-    found = contradiction.detect(known, ["supplied-by"]).where("kind = 'functional-value-conflict'")
-    subjects = known.select(F.col("assertion_id").alias("left_id"), F.col("subject.id").alias("subject_id"))
-    return found.join(subjects, "left_id").groupBy("subject_id").agg(F.count(F.lit(1)).alias("pairs"))
+    """Conflicts of each subject as classes and counts; their pairs are not listed."""
+    found = contradiction.functional_conflicts(fixture.assertions(spark, sf_dir, "supply"), ["supplied-by"])
+    return found.groupBy(F.col("subject.id").alias("subject_id")).agg(F.sum("pairs").alias("pairs"))
 
 
 @register(
@@ -393,6 +394,14 @@ def current_view(spark, sf_dir):
     return contradiction.current_view(known, contradiction.records(contradiction.detect(known, []))).select("assertion_id", "polarity")
 
 
-@register("text_normalize", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_brand), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normal FROM part")
+@register(
+    "text_normalize",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN lower(p_name) || ' ' || lower(p_brand) WHEN 1 THEN lower(p_name) || chr(233) || 'a' || chr(769) || ' ' || lower(p_brand)
+    WHEN 2 THEN lower(p_name) || ' ' || chr(1087) || ' ' || chr(1633) || lower(p_brand) WHEN 4 THEN lower(p_name) || ' 5' || chr(178) || lower(p_brand) END AS normal
+    FROM (SELECT p_partkey, p_name, regexp_replace(p_brand, '[^A-Za-z0-9]', ' ', 'g') AS p_brand FROM part) x""",
+)
 def text_normalize(spark, sf_dir):
-    return fixture.table(spark, sf_dir, "part").select("p_partkey", normalize(F.concat_ws(" -- ", "p_name", "p_brand")).alias("normal"))
+    """Letters beyond ASCII, a combining mark, other digits, white-space controls, and a control that makes the text invalid."""
+    part = fixture.table(spark, sf_dir, "part")
+    odd = F.element_at(F.array(*[F.lit(x) for x in (" -- ", "\u00c9a\u0301...", "\t\u041f\u2014\u0661", "\x01", "\x855\u00b2")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return part.select("p_partkey", normalize(F.concat("p_name", odd, "p_brand")).alias("normal"))

@@ -6,6 +6,9 @@ A payload is an object or an array of objects. Every object becomes a record who
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +86,49 @@ def adapted(records: DataFrame, raw: DataFrame) -> DataFrame:
     """Records whose source, class and version are those of a captured payload."""
     key = ["source_id", "source_class", "version"]
     return records.join(raw.select(*key).distinct(), key, "left_semi")
+
+
+class SourceAdapter(Protocol):
+    """What turns captured payloads of one source into records (source_id, source_class, version, record_key, external_source,
+    ...), one or more rows for each payload."""
+
+    source_id: str
+    source_class: str
+
+    def decode_payload(self, raw: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class JsonAdapter:
+    """The adapter over JSON payloads: ``decode`` with a key field."""
+
+    source_id: str
+    source_class: str
+    key_field: str | None = None
+
+    def decode_payload(self, raw: DataFrame) -> DataFrame:
+        return decode(raw, self.key_field).where("error IS NULL").withColumn("external_source", F.lit(None).cast("string"))
+
+
+def decoded_by(adapter: SourceAdapter, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(payloads with ``code``, records with ``code``): the checks around an adapter's decoding.
+
+    Only payloads of the adapter's own source and class with a whole envelope are decoded; a record's metadata must be valid
+    and name its payload's source, class and version. Null codes pass.
+    """
+    code = (
+        F.when(~valid_envelope(), "invalid-raw-material")
+        .when(F.col("source_id") != adapter.source_id, "source-mismatch")
+        .when(F.col("source_class") != adapter.source_class, "source-class-mismatch")
+    )
+    judged = raw.withColumn("code", code)
+    good = judged.where("code IS NULL").drop("code")
+    versions = good.select(F.col("version").alias("raw_version")).distinct()
+    found = adapter.decode_payload(good).join(versions, F.col("version") == F.col("raw_version"), "left")
+    code = (
+        F.when(~valid_record(), "invalid-record-metadata")
+        .when(F.col("source_id") != adapter.source_id, "source-mismatch")
+        .when(F.col("source_class") != adapter.source_class, "source-class-mismatch")
+        .when(F.col("raw_version").isNull(), "source-version-mismatch")
+    )
+    return judged, found.withColumn("code", code).drop("raw_version")

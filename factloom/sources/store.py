@@ -14,13 +14,17 @@ the last write of each record over the manifest's deltas; ``compact`` folds them
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import versioning
+
 RECORD = "kind string, id string, content string, change string, seq bigint"
 #: Hours that files no manifest names are kept.
 RETENTION_HOURS = 24
@@ -38,8 +42,8 @@ class Files:
     """The few file operations the store needs, on whatever file system the root is on."""
 
     def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.gateway, self.jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def names(self, folder: str) -> list[str]:
@@ -49,27 +53,44 @@ class Files:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 
-    def create(self, name: str, text: str) -> None:
-        """A new file, never over another one. The text is written beside it and renamed, so it is whole or absent."""
-        target, part = self.path(name), self.path(f"{name}.{uuid.uuid4().hex}.part")
-        if self.fs.exists(target):
-            raise ConflictError(f"{name} exists")
-        out = self.fs.create(part, False)
+    def _write_beside(self, name: str, text: str) -> str:
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        out = self.fs.create(self.path(part), False)
         out.write(bytearray(text.encode()))
         out.hsync()
         out.close()
-        if self.fs.exists(target) or not self.fs.rename(part, target):
-            self.fs.delete(part, False)
-            raise ConflictError(f"{name} exists")
+        return part
+
+    def _rename(self, part: str, name: str, overwrite: bool) -> None:
+        """One atomic step: a rename that refuses, or takes the place of, a file that is there."""
+        if self.fs.getScheme() == "file":
+            # The local file system's own rename tests first; a hard link doesn't.
+            source, target = (self.path(x).toUri().getPath() for x in (part, name))
+            (os.replace if overwrite else os.link)(source, target)
+            self.fs.delete(self.path(part), False)
+            checksum = os.path.join(os.path.dirname(source), f".{os.path.basename(source)}.crc")
+            if os.path.exists(checksum):
+                os.unlink(checksum)
+            return
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if overwrite else kind.NONE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri())
+        context.rename(self.path(part), self.path(name), options)
+
+    def create(self, name: str, text: str) -> None:
+        """A new file, never over another one: of two writers one fails. The text is written beside it and renamed, so it is
+        whole or absent."""
+        part = self._write_beside(name, text)
+        try:
+            self._rename(part, name, False)
+        except (FileExistsError, Py4JJavaError) as error:
+            self.fs.delete(self.path(part), False)
+            raise ConflictError(f"{name} exists") from error
 
     def replace(self, name: str, text: str) -> None:
-        target, part = self.path(name), self.path(f"{name}.{uuid.uuid4().hex}.part")
-        out = self.fs.create(part, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self.fs.delete(target, False)
-        if not self.fs.rename(part, target):
-            raise StoreError(f"{name} could not be replaced")
+        """The file with another text; a reader sees the one or the other."""
+        self._rename(self._write_beside(name, text), name, True)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))

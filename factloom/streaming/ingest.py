@@ -60,3 +60,15 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataF
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/table")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/table")
+
+
+def run_complete(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs an aggregation over everything that is there; the whole result is written to a new table under ``folder``."""
+    place = f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/table")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/table")

@@ -516,3 +516,140 @@ def test_migrations(spark):
     with pytest.raises(versioning.MigrationError):
         versioning.migrate(start, [step(1, 2, False)], active.append)
     assert len(active) == 1
+
+
+def test_far_instants_are_exact(spark):
+    for us, wanted in ((253402300799999999, "unix:253402300799.999999000"), (-1, "unix:-0.000001000"), (-62135596800000001, "unix:-62135596800.000001000")):
+        assert one(spark, temporal.instant_text(temporal.instant_of_micros(F.lit(us)))) == wanted
+
+
+# States and runs.
+def test_refused_steps_leave_the_state(spark):
+    rows = [("a", 1, "received"), ("a", 2, "published"), ("a", 3, "normalized"), ("b", 1, "mapped"), ("b", 2, "received"), ("c", 5, "nonsense"), ("d", 2, "blocked"), ("d", 1, "received"), ("d", 3, "normalized")]
+    events = spark.createDataFrame(rows, "candidate string, seq int, state string")
+    got = {(x.candidate, x.seq): (x.before, x.allowed) for x in ingestion.transitions(events, ingestion.CANDIDATE_STEPS, ["candidate"], "seq").collect()}
+    assert got == {
+        ("a", 1): (None, True), ("a", 2): ("received", False), ("a", 3): ("received", True), ("b", 1): (None, False), ("b", 2): (None, True), ("c", 5): (None, False),
+        ("d", 1): (None, True), ("d", 2): ("received", True), ("d", 3): ("blocked", False),
+    }
+    now = {x.candidate: x.state for x in ingestion.current_states(events, ingestion.CANDIDATE_STEPS, ["candidate"], "seq").collect()}
+    assert now == {"a": "normalized", "b": "received", "d": "blocked"}
+
+
+def test_long_logs_fold_event_by_event(spark):
+    import random
+
+    r, names = random.Random(3), list(ingestion.GOVERNANCE_STEPS)
+    events = [(c, i, r.choice(names[:4])) for c in "xy" for i in range(700)]
+    got = {(x.candidate, x.seq): (x.before, x.allowed) for x in ingestion.transitions(spark.createDataFrame(events, "candidate string, seq int, state string"), ingestion.GOVERNANCE_STEPS, ["candidate"], "seq").collect()}
+    state = dict.fromkeys("xy")
+    for c, i, to in events:
+        good = to == names[0] if state[c] is None else to in ingestion.GOVERNANCE_STEPS[state[c]]
+        assert got[c, i] == (state[c], good)
+        state[c] = to if good else state[c]
+
+
+def test_runs(spark):
+    run = ingestion.Run("op", "s", "structured", "1")
+    rows = spark.createDataFrame([("s", "k1", "1", 0, "structured"), ("s", "k2", "1", 0, "structured")], "source_id string, record_key string, version string, ordinal int, source_class string")
+    with pytest.raises(ingestion.IngestionError):
+        run.register(rows)
+    run.begin()
+    known = run.register(rows)
+    assert {x.state for x in known.collect()} == {"received"} and known.count() == 2
+    for bad in (rows, rows.withColumn("version", F.lit("2")), rows.withColumn("source_class", F.lit("other")), rows.withColumn("source_id", F.lit("t")), rows.withColumn("record_key", F.lit("new"))):
+        with pytest.raises(ingestion.IngestionError):
+            run.register(bad, known)
+    assert run.register(rows.limit(1).withColumn("record_key", F.lit("k3")), known).count() == 3
+    with pytest.raises(ingestion.IngestionError):
+        run.finish("completed", known)
+    with pytest.raises(ingestion.IngestionError):
+        run.finish("running", known)
+    run.finish("completed-with-issues", known)
+    for late in (run.begin, lambda: run.fail("x"), lambda: run.register(rows), lambda: run.finish("failed", known)):
+        with pytest.raises(ingestion.IngestionError):
+            late()
+    other = ingestion.Run("op", "s", "structured", None)
+    other.begin()
+    assert other.register(rows.withColumn("version", F.lit(None).cast("string"))).count() == 2
+    with pytest.raises(ingestion.IngestionError):
+        other.fail(" ")
+    other.fail("no reader")
+    assert (other.state, other.error) == ("failed", "no reader")
+    done = ingestion.Run("op", "s", "structured", "1")
+    done.begin()
+    done.finish("completed", known.withColumn("state", F.lit("synchronized")))
+    assert done.state == "completed"
+    with pytest.raises(ingestion.IngestionError):
+        ingestion.Run(" ", "s", "structured", "1")
+
+
+# Plans that count or skip pairs agree with those that list them.
+def test_functional_conflicts_are_counted(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for i in range(120):
+        start, kind, size = r.randrange(12), r.choice(["inclusive", "exclusive"]), r.randrange(4)
+        v = {
+            0: None,
+            1: ("instant", "inclusive", start, "inclusive", start),
+            2: ("interval", kind, start, r.choice(["inclusive", "exclusive"]), start + 1 + size),
+            3: ("open-ended", kind, start, "open", None),
+            4: ("open-ended", "open", None, kind, start),
+            5: ("approximate", "inclusive", start, "inclusive", start),
+            6: ("unknown", "unknown", None, "unknown", None),
+            7: ("interval", "unknown", None, kind, start),
+        }[r.randrange(8)]
+        time = v and {"tag": v[0], "start_kind": v[1], "start": None if v[2] is None else {"s": v[2], "n": 0}, "end_kind": v[3], "end": None if v[4] is None else {"s": v[4], "n": 0}}
+        rows.append(assertion(f"s{r.randrange(4)}", "p", f"o{r.randrange(6)}", id_=f"a{i:03}", validity=time, context=[("k", str(r.randrange(2)))], polarity=r.choice(["positive"] * 5 + ["negative"])))
+    known = table(spark, *rows)
+    listed = contradiction.detect(known, ["p"]).where("kind = 'functional-value-conflict'").join(known.select(F.col("assertion_id").alias("left_id"), "subject", "context"), "left_id")
+    wanted = {(x.subject.id, x.context[0].v): x["count"] for x in listed.groupBy("subject", "context").count().collect()}
+    got = {(x.subject.id, x.context[0].v): x.pairs for x in contradiction.functional_conflicts(known, ["p"]).collect()}
+    assert got == wanted and len(got) > 4
+    assert contradiction.functional_conflicts(known, []).count() == 0
+
+
+@pytest.mark.parametrize("threshold,margin", [(7, 1), (5, 3), (9, 4), (3, 1)])
+def test_decisions_without_weak_pairs(spark, threshold, margin):
+    import random
+
+    r = random.Random(threshold)
+    some = lambda letters: [x for x in letters if r.random() < 0.4]
+    profiles = [(f"e{i}", [r.choice("ABCDEF")], [r.choice("GHIJ")], some("kl"), some("mn"), some("op")) for i in range(25)]
+    inputs = [(f"i{i}", r.choice(["a", "b", "c", "G", "zz", " "]), some("kl"), some("mn"), some("op")) for i in range(60)]
+    known = spark.createDataFrame(profiles, "entity_id string, names array<string>, aliases array<string>, lexical_keys array<string>, language_keys array<string>, context_keys array<string>")
+    given = spark.createDataFrame(inputs, "input_id string, text string, lexical_keys array<string>, language_keys array<string>, context_keys array<string>")
+    wanted = {x.input_id: (x.decision, x.entity_id) for x in resolution.decide(given, resolution.candidates(given, known), threshold, margin).collect()}
+    assert {x.input_id: (x.decision, x.entity_id) for x in resolution.resolve(given, known, threshold, margin).collect()} == wanted
+    assert len({d for d, _ in wanted.values()}) >= 2
+
+
+def test_independent_premises_need_permission(spark):
+    from dataclasses import replace
+
+    rule = r.Rule("two", "conditional", (r.Pattern(X, r.Text("p"), Y), r.Pattern(Z, r.Text("q"), r.Var("w"))), r.Pattern(X, r.Text("both"), Z))
+    known = table(spark, assertion("a", "p", "b"), assertion("c", "q", "d"))
+    with pytest.raises(r.RuleError):
+        reasoning.derive([rule], known)
+    assert reasoning.derive([replace(rule, independent=True)], known).count() == 1
+
+
+def test_traces_name_what_they_were_derived_from(spark):
+    known = table(spark, assertion("a", "p", "b"), assertion("b", "p", "c"))
+    trace = reasoning.reason(known, registry(TRANSITIVE), "deep", snapshot="s1", version=7).derived.first().traces[0]
+    assert (trace.rule_id, trace.profile, trace.snapshot, trace.input_version, trace.depth) == ("t", "deep", "s1", 7, 0)
+
+
+def test_stream_and_batch_machines_agree(spark):
+    rows = [("a", 1, "received"), ("a", 2, "mapped"), ("a", 3, "normalized"), ("b", 1, "normalized"), ("b", 2, "received")]
+    events = spark.createDataFrame(rows, "candidate string, seq bigint, state string")
+    from factloom.streaming import ingest
+
+    state = type("S", (), {"exists": False, "update": lambda self, x: None})
+    by_stream = {}
+    for c in "ab":
+        for out in ingest._judge((c,), iter([events.where(F.col("candidate") == c).toPandas()]), state()):
+            by_stream |= {(x.candidate, x.seq): (x.before, x.allowed) for x in out.itertuples()}
+    assert by_stream == {(x.candidate, x.seq): (x.before, x.allowed) for x in ingestion.transitions(events, ingestion.CANDIDATE_STEPS, ["candidate"], "seq").collect()}

@@ -150,3 +150,52 @@ def test_engine(spark):
             engine.handle(bad[0], bad[1], bad[2])
     engine.stop()
     assert engine.state == "stopped"
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    """Whatever the order of their tests, a file is created once, whole; nothing is left beside it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = store.Files(spark, str(tmp_path))
+
+    def write(i):
+        try:
+            files.create(f"{tmp_path}/m/one", f"text {i}\n")
+            return i
+        except store.ConflictError:
+            return None
+
+    (tmp_path / "m").mkdir()
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(write, range(24)) if x is not None]
+    assert len(won) == 1 and files.read(f"{tmp_path}/m/one") == f"text {won[0]}\n"
+    files.replace(f"{tmp_path}/m/one", "other\n")
+    assert files.read(f"{tmp_path}/m/one") == "other\n" and files.names(f"{tmp_path}/m") == ["one"]
+
+
+def test_updates_must_cover_the_commit(spark):
+    rows = lambda *ids: spark.createDataFrame([("entity", i) for i in ids], "target_kind string, reference string")
+    done = []
+    steps = {"forward": lambda: done.append(1), "search": lambda: done.append(2)}
+    sync = index.Synchroniser()
+    report = sync.apply(0, 1, steps, rows("a", "b"), rows("a"))
+    assert all(x.startswith("failed") for x in report.values()) and not done
+    assert not sync.states["forward"].queryable and sync.states["search"].state == "stale"
+    assert index.Synchroniser().apply(0, 1, steps, rows("a"), rows("a")) == {"forward": "synchronised", "search": "synchronised"} and done == [1, 2]
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from factloom.operators import lineage
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        lineage.checkpoint_folder(Session())
