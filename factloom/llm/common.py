@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.arrays import let, running
+from factloom.operators.lineage import checkpoint_folder as shared_folder
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch; with the byte limit below a Python worker holds a bounded slice of a partition.
@@ -33,23 +35,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, which the session names in spark.checkpoint.dir.
-
-    A session on a local master may leave it unset and gets a temporary folder; on a cluster that would be a folder of one
-    machine, so it is an error there.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -88,47 +73,6 @@ def raw_bytes(column: pa.Array) -> Iterator[memoryview]:
         yield view[start:end]
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; without it the value's expression would be repeated at every use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _blocks(n: Column) -> Column:
-    """About the square root of n: the length of a block, so that work within blocks and work over blocks cost alike."""
-    return F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
-
-
-def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """``merge`` of ``zero`` and the values up to each place, that one included; ``merge`` must be associative and ``zero`` its
-    neutral element.
-
-    Arrays have no running fold, and appending to an array copies it. So the values are folded in blocks of about sqrt(n):
-    n * sqrt(n) copied references instead of n * n / 2.
-    """
-
-    def folded(part: Column, first: Column) -> Column:
-        none = F.slice(F.array(zero), F.lit(1), F.lit(0))
-
-        def step(state: Column, v: Column) -> Column:
-            return let(merge(state["last"], v), lambda x: F.struct(x.alias("last"), F.concat(state["out"], F.array(x)).alias("out")))
-
-        return F.aggregate(part, F.struct(first.alias("last"), none.alias("out")), step, lambda state: state["out"])
-
-    def in_blocks(x: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["v"]) - 1) / x["b"]).cast("int")), lambda i: F.slice(x["v"], i * x["b"] + 1, x["b"]))
-        return F.struct(parts.alias("parts"))
-
-    def with_starts(x: Column) -> Column:
-        sums = F.transform(x["parts"], lambda part: F.aggregate(part, zero, merge))
-        return F.struct(x["parts"].alias("parts"), F.concat(F.array(zero), folded(sums, zero)).alias("starts"))
-
-    def joined(x: Column) -> Column:
-        return F.flatten(F.transform(x["parts"], lambda part, i: folded(part, F.get(x["starts"], i))))
-
-    many = let(let(let(F.struct(values.alias("v"), _blocks(F.size(values)).alias("b")), in_blocks), with_starts), joined)
-    return F.when(F.size(values) > 0, many).otherwise(F.slice(F.array(zero), F.lit(1), F.lit(0)))
-
-
 def match_spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches with the matched text, built from native functions alone.
 

@@ -1,10 +1,12 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from factloom.llm import bpe, mixing, quality
-from tests.llm.helpers import documents, empty, words
+from factloom.llm.common import shared_folder
+from tests.llm.helpers import LONG, documents, empty, prose, words
 from tests.llm.test_scans import PII, plain
 from tests.llm.test_simhash import components, plain_fingerprint
 
@@ -70,10 +72,41 @@ def test_stages_by_brute_force(spark, sf_dir, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    for name, docs in (("odd", documents(spark)), ("empty", empty(spark))):
-        last = run_stages(spark, docs, tmp_path / name)[-1][1]
-        assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        assert last.count() == 0 or name == "odd"
+    """Repeated ids and rows, nulls in every column, empty and long texts, ties and clashing column names, stage by stage."""
+    p = [prose(i, 60 + i) for i in range(6)]
+    rows = [
+        (1, p[0], "en", "a"), (1, p[1], "en", "a"), (1, p[1], "en", "a"), (2, p[0], "en", "b"), (None, p[2], "en", "a"), (None, p[2], "en", None), (3, p[3], None, None),
+        (4, "", "en", "a"), (5, None, None, None), (None, None, "en", "a"), (6, p[4] + " mail zq@mail.example.com", "en", "b"), (7, LONG, "zz", "a"), (8, prose(9, 30_000), "en", "a"), (9, "short", "en", "a"),
+    ]
+    docs = documents(spark, rows)
+    out = dict(run_stages(spark, docs, tmp_path / "odd"))
+    ids = lambda name: sorted((str(r.doc_id), r.text) for r in out[name].collect())
+    long = rows[12][1]
+    assert ids("quality_rules") == sorted((str(i), t) for i, t, *_ in rows if t and len(words(t)) >= 60 and t != LONG)
+    assert ids("near_duplicates") == sorted([("1", p[0]), ("1", p[1]), ("None", p[2]), ("3", p[3]), ("6", rows[10][1]), ("8", long)])
+    clean = p[4] + " mail [EMAIL]"
+    assert ids("personal_data") == sorted([("1", p[0]), ("1", p[1]), ("None", p[2]), ("3", p[3]), ("6", clean), ("8", long)])
+    plan = {(r.doc_id, r.size): r.taken for r in mixing.mix(out["personal_data"]).collect()}
+    spent = Counter()
+    size = {t: len(words(t)) for t in (clean, long, *p)}
+    for r in out["mixture"].collect():
+        whole = next(t for t in size if t.startswith(r.text[:200].rsplit(" ", 1)[0]))
+        spent[r.doc_id, size[whole]] += len(words(r.text))
+        assert r.n_chars == len(r.text) and (r.key, r.row, r.spans) == ("k", "r", "s")
+    assert {k: v for k, v in plan.items() if v} == dict(spent) and plan[3, 63] > 0
+    own = bpe.tokenizer(bpe.default_vocabulary())
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out["encoding"].collect()) == sorted((str(r.doc_id), len(own.encode(r.text))) for r in out["mixture"].collect())
+    last = run_stages(spark, empty(spark), tmp_path / "empty")[-1][1]
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == 0
+
+
+def test_stage_tables_go(spark, sf_dir):
+    """Of a run's stage tables only the last is left."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    names = lambda: {x.name for x in folder.iterdir() if x.name.split("-")[0] in dict(corpus_pipeline.STAGES)}
+    before = names()
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert [x.split("-")[0] for x in names() - before] == [corpus_pipeline.STAGES[-2][0]]
 
 
 def test_names():
