@@ -44,14 +44,20 @@ def prefix(h: Column, depth: Column | int) -> Column:
 
 
 def _settle(rows: DataFrame, shallow: int, deep: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(leaves as prefix at depth ``deep`` with their own depth and bytes, cells of depth ``deep`` still too large)."""
+    """(leaves as prefix at depth ``deep`` with their own depth and bytes, cells of depth ``deep`` still too large).
+
+    A leaf is a bucket that fits and whose parent doesn't. Cells meet their leaf among the depths that leaves have: at those a
+    bucket holds few cells, whereas at depth 0 all of them would be one key of the join.
+    """
     cells = checkpointed(rows.groupBy(prefix(F.col("h"), deep).alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
     depth = F.explode(F.sequence(F.lit(shallow), F.lit(deep)))
     at_depth = cells.select("cell", "bytes", depth.alias("depth")).withColumn("bucket", F.call_function("shiftright", F.col("cell"), F.lit(deep) - F.col("depth")))
-    fits = at_depth.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-    first = at_depth.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("leaf"))
-    leaves = first.select("cell", "leaf.depth", "leaf.bucket", "leaf.shard_bytes")
-    return leaves, cells.join(first, "cell", "left_anti").select("cell")
+    fits = checkpointed(at_depth.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit))
+    parents = fits.select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
+    leaves = checkpointed(fits.withColumn("parent", F.call_function("shiftright", F.col("bucket"), F.lit(1))).join(parents, ["depth", "parent"], "left_anti").drop("parent"))
+    least = leaves.agg(F.coalesce(F.min("depth"), F.lit(deep))).first()[0]
+    placed = at_depth.where(F.col("depth") >= least).join(leaves, ["depth", "bucket"]).select("cell", "depth", "bucket", "shard_bytes")
+    return placed, cells.where(F.col("bytes") > limit).select("cell")
 
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
