@@ -187,8 +187,12 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, dict]:
     bounded_batches(docs.sparkSession)
     counted = spread(_weighted(docs)).mapInArrow(_counts, "lang string, kind string, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # One window takes the common words and, a block having fewer steps, all shares and the total too: the corpus is read once.
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    wanted = counted.withColumn("place", place).where(F.col("place") <= max(common, BLOCK)).drop("place")
+    # Each task hands on the first of its rows; groups of tasks, and groups of those, choose before the last window does.
+    counted = counted.withColumn("part", F.spark_partition_id())
+    for groups in (64, 8, 1):
+        place = F.row_number().over(Window.partitionBy("lang", "kind", F.col("part") % groups).orderBy(F.desc("n"), "key"))
+        counted = counted.withColumn("place", place).where(F.col("place") <= max(common, BLOCK)).drop("place")
+    wanted = counted.drop("part")
     out: dict[str, dict] = {}
     for lang, kind, key, n in wanted.collect():
         own = out.setdefault(lang, {"shares": [{} for _ in CLASSES], "words": {}, "total": 0})
