@@ -29,6 +29,8 @@ from pyspark.sql.window import Window
 from factloom.llm.common import bounded_batches, raw_bytes, spread, text_bytes
 
 ORDERS, BUCKETS, PER_LANGUAGE = (1, 2, 3, 4), 1 << 15, 600
+#: How many times the documents of a language's sample are ranked to choose it.
+SPARE = 1.3
 #: Length of a text's vector.
 SCALE = 5.0
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2; passes over the sample.
@@ -164,25 +166,25 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """The first ``per_language`` rows of each language by ``place``; (place, lang, text) rows come in.
+    """At most ``per_language`` rows of each language, the first by ``place``; (place, lang, text) rows come in.
 
-    The places alone are ranked first (each task hands on that many of each language); of the texts only those up to the last
-    place are then ranked, so that copies on that place don't exceed the number.
+    Rows of one place are equal and count as one. Places are uniform, so the first are among those below ``SPARE`` times the
+    share that would give as many; only these rows, a bounded number of each language, are ranked.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    last = labelled.select("lang", "place").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("place"))
-    upto = {lang: place for lang, place in last.collect()}
-    if not upto:
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()
+    if not sizes:
         return labelled.limit(0)
-    ends = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
-    near = labelled.where(F.col("place") <= F.element_at(ends, F.col("lang")))
-    return near.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, SPARE * per_language / max(1, n))])
+    fraction = F.shiftrightunsigned("place", 12).cast("double") / float(1 << 52)
+    near = labelled.where(fraction < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "place"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place_order"))
+    return near.withColumn("place_order", F.shiftrightunsigned("place", 1)).withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank", "place_order")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from the labelled documents that are not held out; None if there are none.
 
-    The driver gets a place for each language, ``BUCKETS`` document frequencies and the sample's features.
+    The driver gets a count for each language, ``BUCKETS`` document frequencies and the sample's features.
     """
     bounded_batches(docs.sparkSession)
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())

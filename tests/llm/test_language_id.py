@@ -138,12 +138,14 @@ def test_training_by_a_plain_reading(spark):
 
 
 def test_the_sample_is_bounded_whatever_the_copies(spark):
-    rows = [(None, "one and the same text", "en", "a")] * 300 + [(i, f"text {i}", "en", "a") for i in range(50)] + [(i, "kurz", "de", "a") for i in range(5)]
+    """Equal rows count once; the first by hash are taken, as many as are asked for."""
+    rows = [(None, "one and the same text", "en", "a")] * 300 + [(i, f"text {i}", "en", "a") for i in range(500)] + [(i, "kurz", "de", "a") for i in range(5)]
     labelled = documents(spark, rows).select(F.xxhash64("doc_id", "text").alias("place"), "lang", "text")
-    got = lid.sample(labelled, 20)
-    assert dict(got.groupBy("lang").count().collect()) == {"en": 20, "de": 5}
-    wanted = sorted(r.place for r in labelled.where("lang = 'en'").collect())[:20]
-    assert sorted(r.place for r in got.where("lang = 'en'").collect()) == wanted
+    got = lid.sample(labelled, 100)
+    assert dict(got.groupBy("lang").count().collect()) == {"en": 100, "de": 5}
+    unsigned = lambda r: r.place % (1 << 64)
+    wanted = sorted({unsigned(r) for r in labelled.where("lang = 'en'").collect()})[:100]
+    assert sorted(unsigned(r) for r in got.where("lang = 'en'").collect()) == wanted
 
 
 def test_query(spark, sf_dir):
