@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import normalize
+from factloom.operators.lineage import cut
 
 #: Signals and their priorities.
 PRIORITY = {
@@ -130,25 +131,25 @@ def resolve(inputs: DataFrame, profiles: DataFrame, threshold: int = THRESHOLD,
     """(input_id, decision, entity_id), as ``decide`` gives over all ``candidates``, without the pairs that weak signals alone make.
 
     Keys of a language or a context are shared by many profiles, so their pairs grow with the square of a key. Only pairs with a
-    signal from the threshold on are built; the weak signals of those are looked up for the ranking. Of all other entities it
-    counts alone how strong their best signal is, and that is known from how many entities a key has.
+    signal from the threshold on are built. Two of them settle an input: with a margin the one's lead over the other decides,
+    and weak signals couldn't part a tie. For the others it counts how strong the best signal of any further entity is, which
+    the number of entities of each key tells. Without a margin ties go by the weak signals, so all candidates are ranked.
     """
+    if margin < 1:
+        return decide(inputs, candidates(inputs, profiles), threshold, margin)
     given = input_keys(inputs).withColumn("priority", _priority(F.col("signal")))
     held = profile_keys(profiles)
-    strong = given.where(F.col("priority") >= threshold).join(held, ["signal", "key"]).select("input_id", "entity_id", "priority").distinct()
-    pairs = strong.select("input_id", "entity_id").distinct()
-    weak = given.where(F.col("priority") < threshold)
-    own = weak.join(pairs, "input_id").join(held, ["entity_id", "signal", "key"]).select("input_id", "entity_id", "signal", "key", "priority")
-    both = strong.unionByName(own.select("input_id", "entity_id", "priority")).distinct()
-    found = both.groupBy("input_id", "entity_id").agg(F.reverse(F.array_sort(F.collect_set("priority"))).alias("priorities"))
-    found = found.withColumn("primary", F.coalesce(F.array_max("priorities"), F.lit(0)))
+    strong = given.where(F.col("priority") >= threshold).join(held, ["signal", "key"])
+    found = strong.groupBy("input_id", "entity_id").agg(F.max("priority").alias("primary")).withColumn("priorities", F.array("primary"))
+    best = cut(ranked(found).where("place = 1").select("input_id", "entity_id", "primary", "next_primary"))
+    weak = given.where(F.col("priority") < threshold).join(best.where("next_primary IS NOT NULL"), "input_id", "left_anti")
+    weak = weak.join(best.select("input_id", "entity_id"), "input_id", "left")
     sizes = held.groupBy("signal", "key").agg(F.count(F.lit(1)).alias("entities"))
-    paired = own.groupBy("input_id", "signal", "key").agg(F.count(F.lit(1)).alias("paired"))
-    others = weak.join(sizes, ["signal", "key"]).join(paired, ["input_id", "signal", "key"], "left").where(F.col("entities") > F.coalesce("paired", F.lit(0)))
+    own = held.select("entity_id", "signal", "key", F.lit(1).alias("own"))
+    others = weak.join(sizes, ["signal", "key"]).join(own, ["entity_id", "signal", "key"], "left").where(F.col("entities") > F.coalesce("own", F.lit(0)))
     others = others.groupBy("input_id").agg(F.max("priority").alias("other"))
-    best = ranked(found).where("place = 1")
     joined = inputs.select("input_id").join(best, "input_id", "left").join(others, "input_id", "left")
-    following = F.greatest("next_primary", "other")
+    following = F.coalesce("next_primary", "other")
     decision = (
         F.when(F.col("entity_id").isNull() & F.col("other").isNull(), "unknown")
         .when(F.col("entity_id").isNull(), "unresolved")

@@ -611,7 +611,7 @@ def test_functional_conflicts_are_counted(spark):
     assert contradiction.functional_conflicts(known, []).count() == 0
 
 
-@pytest.mark.parametrize("threshold,margin", [(7, 1), (5, 3), (9, 4), (3, 1)])
+@pytest.mark.parametrize("threshold,margin", [(7, 1), (5, 3), (9, 4), (3, 1), (7, 0)])
 def test_decisions_without_weak_pairs(spark, threshold, margin):
     import random
 
