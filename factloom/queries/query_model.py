@@ -11,7 +11,7 @@ from factloom.operators import index
 from factloom.operators.lineage import checkpoint_folder
 from factloom.operators.access import SparkAccess, candidates
 from factloom.plans import filters as f
-from factloom.plans.query import Budget, Lookup, Operator, Options, Plan, Retrieval, Traversal, execute, plan, scored, visible
+from factloom.plans.query import Budget, Lookup, Operator, Options, Retrieval, Traversal, execute, plan, scored, visible
 from factloom.queries.registry import register
 from factloom.sources import fixture
 

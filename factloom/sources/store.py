@@ -277,8 +277,8 @@ def recover(snapshot: DataFrame, snapshot_version: int, entries: DataFrame) -> D
     """
     later = entries.where(F.col("version") > snapshot_version)
     chain = later.select("version", "base").distinct()
-    known = chain.select(F.col("version").alias("base")).unionByName(chain.sparkSession.createDataFrame([(snapshot_version,)], "base bigint"))
-    if not chain.join(known, "base", "left_anti").isEmpty():
+    start = chain.sparkSession.createDataFrame([(snapshot_version, None)], "version bigint, base bigint")
+    if not versioning.chain_breaks(chain.unionByName(start)).isEmpty():
         raise StoreError("the journal has a gap")
     new = later.groupBy("kind", "id").agg(F.max_by("content", F.struct("version", "seq")).alias("content"), F.max("version").alias("version"))
     old = snapshot.select("kind", "id", "content", "version").join(new, ["kind", "id"], "left_anti")
