@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 
 from factloom.llm import mixing
 from tests.llm.helpers import documents, empty, prose, words
