@@ -6,7 +6,7 @@ a column, so a batch keeps accepted and refused candidates side by side.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -206,22 +206,34 @@ class Pipeline:
         return rows
 
 
-def check_log(log: DataFrame) -> DataFrame:
-    """Stage executions (run_id, candidate, seq, stage, attempt, started, ended) with the first code that fails: stages in
-    order, attempts from one, times in order, nothing after a terminal state (column ``terminal``)."""
-    number = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
-    per = Window.partitionBy("run_id", "candidate").orderBy("seq")
-    rows = log.withColumn("number", number)
-    last = F.lag("number").over(per)
-    over = F.max(F.col("terminal").cast("int")).over(per.rowsBetween(Window.unboundedPreceding, -1)) == 1
+def check_log(log: DataFrame, planned: Sequence[str] = STAGES) -> DataFrame:
+    """Stage executions (run_id, candidate, seq, stage, attempt, outcome, started, ended) with the first code that fails:
+    attempts from one, times in order, a stage of the plan, nothing after a terminal state (column ``terminal``), and the
+    stage that follows the last one that succeeded or was skipped. A refused execution changes nothing, so a failed stage may
+    be tried again and a done one may not. A null seq is judged as a first execution and changes nothing.
+
+    The places at which the plan's stages were done, at most one for each, are folded from a candidate's successes.
+    """
+    key = ["run_id", "candidate"]
+    number = F.array_position(F.array(*[F.lit(s) for s in planned]), F.col("stage"))
+    before = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = F.max(F.col("terminal").cast("int")).over(before) == 1
     code = (
-        F.when(F.col("number") == 0, "unknown-stage")
-        .when(F.col("attempt") < 1, "invalid-attempt")
+        F.when(F.col("attempt") < 1, "invalid-attempt")
         .when(F.col("ended") < F.col("started"), "invalid-time-range")
+        .when(F.coalesce(F.col("number"), F.lit(0)) == 0, "unknown-stage")
         .when(F.coalesce(over, F.lit(False)), "after-terminal-state")
-        .when(F.coalesce((F.col("number") != last) & (F.col("number") != last + 1), F.col("number") != 1), "stage-out-of-order")
     )
-    return rows.withColumn("code", code).drop("number")
+    rows = log.withColumn("number", number).withColumn("code", code)
+    success = rows.where("code IS NULL AND seq IS NOT NULL AND outcome IN ('succeeded', 'skipped')")
+    places = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "number")))
+    nothing = F.expr("cast(array() as array<bigint>)")
+    done = F.aggregate(places, nothing, lambda at, x: F.when(x["number"] == F.size(at) + 1, F.array_append(at, x["seq"])).otherwise(at))
+    reached = success.groupBy(*[F.col(k).alias(f"r_{k}") for k in key]).agg(done.alias("reached"))
+    joined = rows.join(reached, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in key], "left")
+    expected = F.size(F.filter(F.coalesce("reached", nothing), lambda at: at < F.col("seq"))) + 1
+    late = F.when(F.col("number") != expected, "stage-out-of-order")
+    return joined.withColumn("code", F.coalesce("code", late)).drop("number", "reached", *[f"r_{k}" for k in key])
 
 
 def run_complete(candidates: DataFrame) -> DataFrame:

@@ -473,10 +473,26 @@ def test_pipeline_plan(spark):
 
 
 def test_stage_log(spark):
-    rows = [("r", "c", 1, "raw-capture", 1, 0, 1, False), ("r", "c", 2, "normalization", 1, 1, 2, False), ("r", "d", 1, "raw-capture", 0, 0, 1, False), ("r", "e", 1, "raw-capture", 1, 2, 1, True), ("r", "e", 2, "raw-validation", 1, 2, 3, False)]
-    log = spark.createDataFrame(rows, "run_id string, candidate string, seq int, stage string, attempt int, started int, ended int, terminal boolean")
-    got = {(x.candidate, x.seq): x.code for x in ingestion.check_log(log).collect()}
-    assert got == {("c", 1): None, ("c", 2): "stage-out-of-order", ("d", 1): "invalid-attempt", ("e", 1): "invalid-time-range", ("e", 2): "after-terminal-state"}
+    rows = [
+        ("r", "c", 1, "raw-capture", 1, "succeeded", 0, 1, False, None),
+        ("r", "c", 2, "normalization", 1, "succeeded", 1, 2, False, "stage-out-of-order"),
+        # What was refused changes nothing: the second stage is still to come, and may be tried again until it is done.
+        ("r", "c", 3, "raw-validation", 1, "failed", 2, 3, False, None),
+        ("r", "c", 4, "raw-validation", 2, "skipped", 3, 4, False, None),
+        ("r", "c", 5, "raw-validation", 3, "succeeded", 4, 5, False, "stage-out-of-order"),
+        ("r", "c", 6, "normalization", 1, "succeeded", 5, 6, False, None),
+        ("r", "c", 7, "other", 1, "succeeded", 6, 7, False, "unknown-stage"),
+        ("r", "d", 1, "raw-capture", 0, "succeeded", 0, 1, False, "invalid-attempt"),
+        ("r", None, 1, "raw-capture", 1, "succeeded", 0, 1, False, None),
+        ("r", None, 2, "raw-validation", 1, "succeeded", 0, 1, False, None),
+        ("r", "e", 1, "raw-capture", 1, "succeeded", 2, 1, True, "invalid-time-range"),
+        ("r", "e", 2, "raw-validation", 1, "succeeded", 2, 3, False, "after-terminal-state"),
+    ]
+    log = spark.createDataFrame(rows, "run_id string, candidate string, seq int, stage string, attempt int, outcome string, started int, ended int, terminal boolean, expected string")
+    found = ingestion.check_log(log).collect()
+    assert len(found) == len(rows) and all(x.code == x.expected for x in found)
+    steps = ("raw-capture", "own-hook", "raw-validation")
+    assert [x.code for x in ingestion.check_log(log.where("candidate = 'c' AND seq < 3"), steps).orderBy("seq").collect()] == [None, "unknown-stage"]
 
 
 def test_withdrawals_and_corrections(spark):
