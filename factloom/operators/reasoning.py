@@ -216,17 +216,27 @@ class Reasoned:
 
 
 def reason(
-    assertions: DataFrame, registry: r.Registry, profile: str, goal: r.Pattern | None = None, seconds: float | None = None, snapshot: str | None = None, version: int | None = None
+    assertions: DataFrame,
+    registry: r.Registry,
+    profile: str,
+    goal: r.Pattern | None = None,
+    seconds: float | None = None,
+    snapshot: str | None = None,
+    version: int | None = None,
+    budgets: r.Budgets | None = None,
 ) -> Reasoned:
     """A budgeted run. The goal filters the assertions themselves and prunes rules that can't reach it.
 
     ``seconds`` limits the driver's wall clock: a run past it when its matches are counted derives nothing. The profiles'
     own seconds are meant for one process and would make results depend on the cluster, so they apply only when passed.
     ``snapshot`` and ``version`` name the knowledge the run reads and are written into the traces.
+    ``budgets`` stand in for the profile's, up to the ceiling over all of them.
     """
     if profile not in r.PROFILES:
         raise r.RuleError("reasoning is disabled" if profile == "none" else f"unknown profile {profile!r}")
-    budgets, kinds = r.PROFILES[profile]
+    own, kinds = r.PROFILES[profile]
+    budgets = budgets or own
+    budgets.validate()
     deadline = None if seconds is None else time.monotonic() + seconds
     working = assertions.where(may_match(goal)) if goal else assertions
     size = working.limit(budgets.max_expansion + 1).count()
@@ -247,17 +257,22 @@ def reason(
     kept = deduplicated(numbered.where((F.col("n") <= budgets.max_applications) & F.col("in_scope")))
     known = working.select("assertion_id", F.lit(True).alias("known"))
     kept = kept.join(known, "assertion_id", "left").withColumn("is_new", F.col("known").isNull())
-    first = kept.where("is_new").groupBy("assertion_id").agg(F.min("n").alias("first"))
-    place = first.withColumn("place", F.row_number().over(Window.orderBy("first")))
-    cut = place.where(F.col("place") == budgets.result_limit + 1).agg(F.min("first")).first()[0]
-    applied = kept if cut is None else kept.where(F.col("n") < cut)
+    # A new conclusion is refused once as many conclusions as a limit allows, new or known, are derived; the run ends there.
+    one = F.when(F.row_number().over(Window.partitionBy("assertion_id").orderBy("n")) == 1, 1).otherwise(0)
+    counted = kept.select("n", "assertion_id", "is_new", one.alias("one"))
+    counted = counted.withColumn("before", F.sum("one").over(Window.orderBy("n")) - F.col("one"))
+    limit = min(budgets.max_derived, budgets.result_limit)
+    cut_at = counted.where(F.col("is_new") & (F.col("before") >= limit)).agg(F.min("n")).first()[0]
+    applied = kept if cut_at is None else kept.where(F.col("n") < cut_at)
+    new = applied.where("is_new").select("assertion_id").distinct().count()
+    if cut_at is not None:
+        reached = "derived-assertion budget exceeded" if limit == budgets.max_derived else "result limit exceeded; derived output truncated"
+        status, message = "incomplete", reached
+    elif new and size + new > budgets.max_expansion:
+        status, message = "incomplete", "expansion budget exceeded"
     # What matches again in the next round counts against the budget too.
-    if n_matches > budgets.max_applications:
-        status, message = "incomplete", "execution budget exhausted during premise matching"
-    elif cut is not None:
-        status, message = "incomplete", "result limit exceeded; derived output truncated"
-    elif 2 * n_matches > budgets.max_applications and not place.isEmpty():
-        status, message = "incomplete", "execution budget exhausted during premise matching"
+    elif n_matches > budgets.max_applications or (new and 2 * n_matches > budgets.max_applications):
+        status, message = "incomplete", message or "execution budget exhausted during premise matching"
     derived = derived_set(applied, profile, snapshot, version)
     out = derived.select(*ASSERTION, "traces")
     both = assertions.select(*ASSERTION).unionByName(out.select(*ASSERTION))

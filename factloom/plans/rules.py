@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 
 class RuleError(ValueError):
@@ -152,6 +152,14 @@ class Budgets:
     seconds: float
     result_limit: int
 
+    def validate(self) -> None:
+        """No budget is zero and none above the ceiling. The depth never binds: derived facts are no premises, so a second round adds nothing."""
+        for f in fields(self):
+            if getattr(self, f.name) > getattr(CEILING, f.name):
+                raise RuleError(f"{f.name} is above the ceiling")
+        if not all((self.max_depth, self.max_applications, self.max_derived, self.max_expansion, self.result_limit)):
+            raise RuleError("a budget is zero")
+
 
 #: The profiles' budgets and rule families, and the ceiling over all of them.
 CEILING = Budgets(64, 100_000, 50_000, 100_000, 30, 10_000)

@@ -333,6 +333,25 @@ def test_result_limit_and_half_budget(spark):
     assert (done.status, done.derived.count()) == ("incomplete", 1)
 
 
+def test_own_budgets(spark):
+    rule = r.Rule("i", "inverse", (r.Pattern(X, r.Text("p"), Y),), r.Pattern(Y, r.Text("ip"), X))
+    known = table(spark, *[assertion(f"s{i}", "p", "o") for i in range(6)])
+    messages = {}
+    for budgets in (r.Budgets(4, 20, 3, 20, 1, 10), r.Budgets(4, 20, 10, 20, 1, 4), r.Budgets(4, 20, 10, 11, 1, 10), r.Budgets(4, 11, 10, 20, 1, 10), r.Budgets(4, 20, 10, 20, 1, 10)):
+        done = reasoning.reason(known, registry(rule), "basic", budgets=budgets)
+        messages[done.message] = (done.status, done.derived.count(), done.applications)
+    assert messages == {
+        "derived-assertion budget exceeded": ("incomplete", 3, 3),
+        "result limit exceeded; derived output truncated": ("incomplete", 4, 4),
+        "expansion budget exceeded": ("incomplete", 6, 6),
+        "execution budget exhausted during premise matching": ("incomplete", 6, 6),
+        None: ("complete", 6, 6),
+    }
+    for wrong in (r.Budgets(65, 20, 10, 20, 1, 10), r.Budgets(4, 20, 0, 20, 1, 10)):
+        with pytest.raises(r.RuleError):
+            reasoning.reason(known, registry(rule), "basic", budgets=wrong)
+
+
 def test_context_and_qualifiers_merge(spark):
     known = table(spark, assertion("a", "p", "b", context=[("k", "1"), ("m", "x")], qualifiers=[("q", "1")]), assertion("b", "p", "c", context=[("k", "2"), ("m", "x")], qualifiers=[("q", "1"), ("r", "2")]))
     got = reasoning.derive([TRANSITIVE], known).first()
