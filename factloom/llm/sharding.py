@@ -43,42 +43,50 @@ def prefix(h: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", h, (F.lit(HASH_BITS) - (depth if isinstance(depth, Column) else F.lit(depth))).cast("int"))
 
 
-def _settle(rows: DataFrame, shallow: int, deep: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, shallow: int, deep: int, limit: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """(leaves as prefix at depth ``deep`` with their own depth and bytes, cells of depth ``deep`` still too large).
 
-    A leaf is a bucket that fits and whose parent doesn't. Cells meet their leaf among the depths that leaves have: at those a
-    bucket holds few cells, whereas at depth 0 all of them would be one key of the join.
+    A leaf is a bucket that fits and whose parent doesn't; the two halves of a parent are one row of the aggregate, so it has
+    both sums and no table meets itself. Cells meet their leaf among the depths that leaves have: at those a bucket holds few
+    cells, whereas at depth 0 all of them would be one key of the join. Only the two tables that are read again are written.
     """
-    cells = checkpointed(rows.groupBy(prefix(F.col("h"), deep).alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
+    cells = checkpointed(rows.groupBy(prefix(F.col("h"), deep).alias("cell")).agg(F.sum("n_bytes").alias("bytes")).coalesce(parts))
     depth = F.explode(F.sequence(F.lit(shallow), F.lit(deep)))
     at_depth = cells.select("cell", "bytes", depth.alias("depth")).withColumn("bucket", F.call_function("shiftright", F.col("cell"), F.lit(deep) - F.col("depth")))
-    fits = checkpointed(at_depth.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit))
-    parents = fits.select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
-    leaves = checkpointed(fits.withColumn("parent", F.call_function("shiftright", F.col("bucket"), F.lit(1))).join(parents, ["depth", "parent"], "left_anti").drop("parent"))
+    half = lambda bit: F.sum(F.when(F.col("bucket") % 2 == bit, F.col("bytes")))
+    parents = at_depth.groupBy("depth", F.call_function("shiftright", F.col("bucket"), F.lit(1)).alias("parent")).agg(half(0).alias("low"), half(1).alias("high"))
+    halves = F.explode(F.array(*[F.struct((F.col("parent") * 2 + bit).alias("bucket"), F.col(name).alias("bytes")) for bit, name in enumerate(("low", "high"))]))
+    split = (F.col("depth") == shallow) | (F.coalesce("low", F.lit(0)) + F.coalesce("high", F.lit(0)) > limit)
+    buckets = parents.where(split).select("depth", halves.alias("half")).select("depth", "half.bucket", F.col("half.bytes").alias("shard_bytes"))
+    leaves = checkpointed(buckets.where(F.col("shard_bytes") <= limit).coalesce(parts))
     least = leaves.agg(F.coalesce(F.min("depth"), F.lit(deep))).first()[0]
     placed = at_depth.where(F.col("depth") >= least).join(leaves, ["depth", "bucket"]).select("cell", "depth", "bucket", "shard_bytes")
     return placed, cells.where(F.col("bytes") > limit).select("cell")
 
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, depth, bucket, page, shard_bytes), a row for each input row."""
+    """(doc_id, n_bytes, depth, bucket, page, shard_bytes), a row for each input row.
+
+    Tables of prefixes and the result come in as many parts as the input at most: they are small beside its texts, and a part
+    of a shuffle each would be thousands of small files.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id"), size.alias("n_bytes"), hash_of(F.col("doc_id")).alias("h"), F.xxhash64("doc_id", "text").alias("r"))
     rows = checkpointed(rows)
+    parts = max(1, rows.rdd.getNumPartitions())
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     step = max(1, math.ceil(math.log2(max(2.0, total / limit))) + SPARE_BITS)
     shallow, out, rest = 0, None, rows
     while True:
         deep = min(HASH_BITS, shallow + step)
-        leaves, large = _settle(rest, shallow, deep, limit)
-        leaves, large = checkpointed(leaves), checkpointed(large)
+        leaves, large = _settle(rest, shallow, deep, limit, parts)
         placed = rest.withColumn("cell", prefix(F.col("h"), deep)).join(leaves, "cell").select("doc_id", "n_bytes", "depth", "bucket", F.lit(0).cast("long").alias("page"), "shard_bytes")
         out = placed if out is None else out.unionByName(placed)
         if large.isEmpty():
-            return out
+            return out.coalesce(parts)
         rest = checkpointed(rest.join(large, prefix(F.col("h"), deep) == F.col("cell"), "left_semi"))
         if deep == HASH_BITS:
-            return out.unionByName(_pages(rest, limit))
+            return out.unionByName(_pages(rest, limit)).coalesce(parts)
         shallow, step = deep + 1, min(step, HASH_BITS - deep)
 
 

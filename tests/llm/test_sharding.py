@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,32 @@ def test_equals_duckdb(spark, sf):
     got = sharding.op3_sharding(spark, folder)
     assert_equal(got, connect(folder), sharding.ORACLE)
     assert got.select("depth", "bucket").distinct().count() >= 8
+
+
+def test_small_tables_are_few_files(spark):
+    """What is written between the passes follows the parts of the input, not those of a shuffle."""
+    docs = documents(spark, [(i, prose(i, 5 + i % 40), "en", "a") for i in range(300)]).repartition(2)
+    wanted = sorted(sharding.assign(docs, 500).collect())
+    assert len({(r.depth, r.bucket) for r in wanted}) > 50
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    files = lambda: set(folder.rglob("part-*"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        before = files()
+        got = sharding.assign(docs, 500)
+        written = files() - before
+        assert sorted(got.collect()) == wanted
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(written) <= 12
+
+
+@pytest.mark.parametrize("cut", ["limit", "where", "parts"])
+def test_nothing_to_deal(spark, cut):
+    docs = documents(spark)
+    none = {"limit": lambda: docs.limit(0), "where": lambda: docs.where("false"), "parts": lambda: spark.createDataFrame(spark.sparkContext.emptyRDD(), docs.schema)}[cut]()
+    assert sharding.assign(none).count() == 0
